@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -64,6 +66,12 @@ def drop(df: DataFrame) -> None:
     remove(getattr(df, "_lattica_path", ""))
 
 
+def arrow(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _store
 
-MAX_ROWS, MAX_CHARS, STEPS, RATE, THRESHOLD = 8192, 48_000_000, 1500, 0.015, 0.5
+MAX_ROWS, MAX_CHARS, STEPS, RATE, THRESHOLD = 8192, 48_000_000, 1000, 0.015, 0.5
 CHUNK, STRIDE, WIDTH, BLOCK = 512, 480, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: Bytes seen by one block of BLOCK neighbouring filter positions.
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], names=["doc_id", "p_accept"])
 
-    return _store.pick(docs, doc_id="doc_id", _text="text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, p_accept double")
+    return _store.arrow(_store.pick(docs, doc_id="doc_id", _text="text").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, p_accept double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             good = model.score(batch.column(text).to_pylist()) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return _store.arrow(docs, run, schema)

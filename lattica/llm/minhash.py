@@ -182,7 +182,7 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) for every document: the smallest doc_id of its near-duplicate group, its own if it has no near duplicate."""
     plain = _store.pick(docs, _id=id_col, _text=text_col).where("_id is not null").withColumn("_id", F.col("_id").cast("long"))
-    signed = plain.mapInArrow(_sign(shingle, bands, rows), _SIGNED)
+    signed = _store.arrow(plain, _sign(shingle, bands, rows), _SIGNED)
     # a repeated doc_id: the row whose set has the smallest keys stands for it
     one = signed.groupBy("_id").agg(F.min(F.struct("_k1", "_k2", "_bands")).alias("_s")).select("_id", "_s.*")
     one = _store.keep(one, "signed")
@@ -206,7 +206,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             if most:
                 pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_a", "_b"), "_a"))).where(F.col("_n") <= most).drop("_n")
         both = pairs.join(texts.withColumnsRenamed({"_id": "_b", "_text": "_tb"}), "_b").join(texts.withColumnsRenamed({"_id": "_a", "_text": "_ta"}), "_a").select("_a", "_b", "_ta", "_tb")
-        found = _store.keep(both.mapInArrow(_verify(shingle), "_a long, _b long, _j double"), "verified")
+        found = _store.keep(_store.arrow(both, _verify(shingle), "_a long, _b long, _j double"), "verified")
         if found.isEmpty():
             break
         done = found if done is None else done.unionByName(found)

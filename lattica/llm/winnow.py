@@ -71,7 +71,7 @@ def _prints(k: int, window: int):
 
 def fingerprints(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(_id, _h, _p) of a table (_id, _text): hash and first word of each fingerprint."""
-    f = texts.mapInArrow(_prints(k, window), "_id long, _f array<struct<h:long,p:int>>")
+    f = _store.arrow(texts, _prints(k, window), "_id long, _f array<struct<h:long,p:int>>")
     return f.select("_id", F.explode("_f").alias("_f")).select("_id", F.col("_f.h").alias("_h"), F.col("_f.p").alias("_p"))
 
 
@@ -126,7 +126,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDO
     found = by_item.groupBy("_id").agg(F.collect_list(F.struct(F.col("_item").alias("i"), "t", "hits")).alias("_items"))
     ids = hits.select("_id").distinct()
     texts = train.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    return texts.join(found, "_id").select("_id", "_text", "_items").mapInArrow(_spans(k + window - 1), "doc_id long, item_id long, doc_start int, item_start int, n_words int")
+    return _store.arrow(texts.join(found, "_id").select("_id", "_text", "_items"), _spans(k + window - 1), "doc_id long, item_id long, doc_start int, item_start int, n_words int")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = K + WINDOW - 1, **options) -> DataFrame:
