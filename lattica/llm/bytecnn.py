@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _store
 
-MAX_ROWS, MAX_CHARS, STEPS, RATE, THRESHOLD = 8192, 48_000_000, 1000, 0.015, 0.5
+MAX_ROWS, MAX_CHARS, STEPS, RATE, THRESHOLD = 8192, 48_000_000, 1000, 0.015, 0.8
 CHUNK, STRIDE, WIDTH, BLOCK = 512, 480, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: Bytes seen by one block of BLOCK neighbouring filter positions.
