@@ -68,7 +68,7 @@ def parameters(content: Column) -> Column:
     """Up to ten parameter names between the first `(` and the first `)`, joined; null if there are none."""
     start, end = F.instr(content, "("), F.instr(content, ")")
     inner = F.when((start > 0) & (end > start + 1), F.substring(content, start + 1, end - start - 1))
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: (p != "") & ~F.lower(p).isin("cls", "self", "this"))
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~F.lower(p).isin("cls", "self", "this"))
     names = F.transform(parts, lambda p: F.when(p.contains(":"), F.trim(F.substring_index(p, ":", 1))).when(p.contains("="), F.trim(F.substring_index(p, "=", 1))).otherwise(F.element_at(F.split(p, r"\s+"), -1)))
     names = F.slice(F.filter(names, lambda x: x != ""), 1, 10)
     return F.when(F.size(names) > 0, F.array_join(names, ", "))
