@@ -76,6 +76,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under names of our own, so that others can't clash: pick(df, id="doc_id")."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -222,10 +222,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with one document of each group, the smallest doc_id; of rows that repeat a doc_id one stays. Columns as they came."""
     found = _store.keep(groups(docs, id_col, text_col, **options), "groups")
+    name = _store.free(docs, "_go")
     key = F.col(f"`{id_col}`")
-    go = found.where("doc_id <> group_id").select(F.col("doc_id").alias("_go"))
-    many = docs.where(key.isNotNull()).groupBy(key.alias("_go")).count().where("count > 1").select("_go")
-    on = key == F.col("_go")
+    go = found.where("doc_id <> group_id").select(F.col("doc_id").alias(name))
+    many = docs.where(key.isNotNull()).groupBy(key.alias(name)).count().where("count > 1").select(name)
+    on = key == F.col(name)
     single = docs.join(go.unionByName(many), on, "left_anti")
     repeated = docs.join(many, on, "left_semi").join(go, on, "left_anti").dropDuplicates([id_col])
     return single.unionByName(repeated)

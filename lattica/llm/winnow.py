@@ -131,8 +131,9 @@ def spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDO
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = K + WINDOW - 1, **options) -> DataFrame:
     """The rows of docs, columns as they came, that share no span of min_words or more words with a benchmark item."""
-    bad = _store.keep(spans(docs, benchmark, **options).where(F.col("n_words") >= min_words).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("`doc_id`") == F.col("_bad"), "left_anti")
+    name = _store.free(docs, "_bad")
+    bad = _store.keep(spans(docs, benchmark, **options).where(F.col("n_words") >= min_words).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, F.col("`doc_id`") == F.col(name), "left_anti")
 
 
 #: DuckDB: the k-grams of every text, joined as strings and merged along diagonals.
