@@ -1,5 +1,6 @@
 """Mixing, sharding, the pipeline and the registered queries."""
 
+import functools
 import math
 import random
 from collections import Counter, defaultdict
@@ -148,7 +149,13 @@ def test_assign_edges(spark):
 # Pipeline and queries
 
 
-def test_pipeline_equals_brute_force(spark):
+@pytest.fixture
+def quick(monkeypatch):
+    """A shorter training: these tests are about what follows from a model, whatever it is."""
+    monkeypatch.setattr(bytecnn, "train", functools.partial(bytecnn.train, steps=120))
+
+
+def test_pipeline_equals_brute_force(spark, quick):
     """Each stage by plain means on the kept documents of the one before."""
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -176,14 +183,14 @@ def test_pipeline_equals_brute_force(spark):
     assert Counter((r.doc_id, r.shard_id) for r in got) == Counter((i, shard[i]) for i, _, _ in drawn)
 
 
-def test_stages_keep_columns(spark):
+def test_stages_keep_columns(spark, quick):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, f in corpus_pipeline.STAGES[1:-1]:
         assert f(spark, d, SMALL).columns == d.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, d, SMALL).columns == [*d.columns, "shard_id"]
 
 
-def test_queries_cover_whole_tables(spark):
+def test_queries_cover_whole_tables(spark, quick):
     """Queries without SQL, against brute force over the whole of the smallest tables."""
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in d.collect()]
