@@ -157,7 +157,7 @@ def normal_tag(tag: Column) -> Column:
 
 
 def parse_tag(tag: Column) -> Column:
-    """struct<category, node_type, kind, subtype, scope> of `{definition|reference}.{container|callable|data}.{kind}[.{subtype}][.scope.{s}]`; null for anything else. Unknown kinds are null."""
+    """struct<category, node_type, kind, subtype, scope> of a capture name: `definition` or `reference`, a type in lower case, a kind, perhaps a subtype, perhaps `scope` and a scope, with dots between; null for anything else. Unknown kinds are null."""
     parts = F.split(F.regexp_replace(tag, "^@", ""), "[.]")
     at = lambda i: F.get(parts, F.lit(i))
     kind_of = F.when(at(1) == "container", F.lit("Container")).when(at(1) == "callable", F.lit("Callable")).when(at(1) == "data", F.lit("Data")).when(at(1) == "file", F.lit("Container"))

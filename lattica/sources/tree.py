@@ -145,7 +145,7 @@ def git_metadata(path: str) -> dict:
             return None
         return r.stdout.strip() or None if r.returncode == 0 else None
 
-    return {"remote": ask("remote", "get-url", "origin"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "commit": ask("rev-parse", "HEAD")}
+    return {"remote": ask("remote", "get-url", "origin"), "commit": ask("log", "-1", "--format=%H"), "branch": ask("symbolic-ref", "--short", "HEAD")}
 
 
 def components(files: DataFrame, repo: str) -> DataFrame:

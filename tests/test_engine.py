@@ -14,7 +14,7 @@ FILES = {
     "app/main.py": "import util\n\nLIMIT = 3\n\n\nclass Runner(Base):\n    def __init__(self, size):\n        self.size = size\n\n    def run(self):\n        return helper(LIMIT)\n\n\ndef start():\n    Runner(1).run()\n",
     "app/util.py": "class Base:\n    pass\n\n\ndef helper(x):\n    return x\n",
     "web/view.ts": "export interface Shape { area(): number; }\nexport class Square implements Shape {\n  side: number = 1;\n  area(): number { return this.side; }\n}\n",
-    "web/package.json": json.dumps({"name": "@acme/web", "version": "1.0.0", "dependencies": {"@acme/lib": "workspace:*", "left": "^1"}}),
+    "web/package.json": json.dumps({"version": "0.3.1", "private": True, "name": "@acme/web", "dependencies": {"@acme/lib": "workspace:*", "left": "^1"}}),
     "lib/package.json": json.dumps({"name": "@acme/lib"}),
     "package.json": json.dumps({"name": "top", "workspaces": ["web", "lib"]}),
     "skipped.log.py": "def no(): pass\n",
