@@ -55,8 +55,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK,
 
     Queries and points are cut into blocks; each pair of blocks is one matrix product, wherever it runs, and gives at most k rows a query; these are merged by query."""
     spark = ship(queries.sparkSession)
-    pairs = _blocks(queries, "q", block).crossJoin(_blocks(points, "p", block))
-    pairs = pairs.repartition(2 * spark.sparkContext.defaultParallelism)
+    # every pair of partitions is a task that reads both from shuffle files; pairs themselves are never shuffled
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    pairs = _blocks(queries, "q", block).repartition(tasks).crossJoin(_blocks(points, "p", block))
     found = pairs.select("_q_ids", "_q_vectors", "_p_ids", "_p_vectors").mapInArrow(_top(k, digits), _SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
