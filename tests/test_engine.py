@@ -114,3 +114,26 @@ def test_workspace_of_two_roots(spark, tmp_path):
     ids = {r.id for r in nodes.collect()}
     assert {"x/same.py:f", "y/same.py:f", "x", "y"} <= ids
     assert edges.where("source like 'workspace:%'").count() == 2
+
+
+def test_sync_once(spark, root, tmp_path):
+    from lattica.streaming import sync
+
+    e, seen = Engine(spark, str(root), str(tmp_path / "store")), []
+    sync.auto_sync(e, once=True, then=seen.append).awaitTermination(120)
+    assert seen and seen[0]["full"] and e.store.exists("nodes")
+
+
+def test_command_line(root, tmp_path, capsys, spark):
+    from lattica.__main__ import config_value, load_config, main
+
+    (root / ".lattica").mkdir(exist_ok=True)
+    (root / ".lattica/config.toml").write_text('[search]\nlimit = 3\n[embedding]\nprovider = "hashing"\ndim = 64\n')
+    assert load_config(str(root), {"search": {"mode": "code"}}, str(tmp_path))["search"] == {"limit": 3, "mode": "code", "min_score": 0.0}
+    with pytest.raises(NotFound):
+        config_value({"a": 1}, "a.b")
+    w = ["-w", str(root), "--registry", str(tmp_path / "r.json")]
+    for args in (["init"], ["search", "helper"], ["graph", "find", "hel*"], ["graph", "code", "app/util.py:helper"], ["components", "graph", "--format", "ascii"], ["doctor"], ["workspace", "register", "x", str(root)], ["workspace", "list"]):
+        assert main(w + args) == 0, args
+    out = capsys.readouterr().out
+    assert "app/util.py:helper" in out and "@acme/web" in out and '"has_index": true' in out
