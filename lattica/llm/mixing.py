@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,8 @@ from . import _store
 
 ENTROPY, REPEATS, BLOCK, SEED = 0.95, 4.0, 64, 11
 STEPS = 60
+#: Rows of a table of sources that is broadcast; a larger one is joined as Spark sees fit.
+BROADCAST_SOURCES = 200_000
 OPTIONS = {"budget": None, "entropy": ENTROPY, "repeats": REPEATS, "block": BLOCK, "seed": SEED}
 
 
@@ -139,7 +141,7 @@ def _ends(narrow: DataFrame, opts: dict) -> DataFrame:
     spark = narrow.sparkSession
     totals = narrow.groupBy("_s").agg(F.sum("_n").alias("n")).where("n > 0").collect()
     rows, _ = _plan(sorted(((r["_s"], r["n"]) for r in totals), key=lambda x: (x[0] is not None, x[0] or "")), opts["budget"], opts["entropy"], opts["repeats"])
-    given = spark.createDataFrame([(r["source"], r["budget"] // r["tokens"], r["budget"] % r["tokens"]) for r in rows], "_s2 string, _whole long, _rest long")
+    given = _few(spark, [(r["source"], r["budget"] // r["tokens"], r["budget"] % r["tokens"]) for r in rows], "_s2 string, _whole long, _rest long")
     placed = narrow.join(given, F.col("_s").eqNullSafe(F.col("_s2"))).withColumn("_at", _place(opts)).withColumn("_range", F.substring("_at.k", 1, 3))
     sums = placed.groupBy("_s2", "_range", "_rest").agg(F.sum("_n").alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("_s2").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -152,7 +154,13 @@ def _ends(narrow: DataFrame, opts: dict) -> DataFrame:
     beyond = F.struct(F.concat(F.coalesce(F.col("_r3"), F.lit("")), F.lit("g")).alias("k"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("h"))
     out = given.join(last, F.col("_s2").eqNullSafe(F.col("_s3")), "left").join(end, F.col("_s2").eqNullSafe(F.col("_s4")), "left")
     out = out.select("_s2", "_whole", F.coalesce("_first", beyond).alias("_end"))
-    return spark.createDataFrame(out.collect(), out.schema)  # as many rows as sources
+    return _few(spark, out.collect(), out.schema)  # as many rows as sources
+
+
+def _few(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A table of the driver's, broadcast if it is small: joined by source it would put all rows of a hot source in one task."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
 
 
 #: DuckDB: the bisection folds over a list, the epochs are a running sum.
