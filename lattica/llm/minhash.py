@@ -225,8 +225,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     name = _store.free(docs, "_go")
     key = F.col(f"`{id_col}`")
     go = found.where("doc_id <> group_id").select(F.col("doc_id").alias(name))
-    many = docs.where(key.isNotNull()).groupBy(key.alias(name)).count().where("count > 1").select(name)
+    many = _store.keep(docs.where(key.isNotNull()).groupBy(key.cast("long").alias(name)).count().where("count > 1").select(name), "repeated")
     on = key == F.col(name)
+    if many.isEmpty():  # then documents are joined, and shuffled, once
+        return docs.join(go, on, "left_anti")
     single = docs.join(go.unionByName(many), on, "left_anti")
     repeated = docs.join(many, on, "left_semi").join(go, on, "left_anti").dropDuplicates([id_col])
     return single.unionByName(repeated)
