@@ -60,6 +60,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of a document that is too short for op8_license_scan."""
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.NOTICES)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return minhash.groups(read(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_temperature_mixing,
         op7_ogg_media,
         op8_license_scan,
+        op8_short_notices,
         op9_minhash_dedup,
         op10_html_extraction,
     )
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_temperature_mixing": mixing.ORACLE_SQL,
     "op7_ogg_media": ogg.ORACLE_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,
+    "op8_short_notices": licenses.NOTICES_SQL,
 }

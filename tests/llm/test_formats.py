@@ -266,3 +266,22 @@ def test_license_edges(spark):
     got = [r for r in licenses.scan(docs).collect() if r.license == "mit"]
     assert sorted(r.doc_id for r in got) == [3, 4, 5, 5, 7] and all(r.share == 1 for r in got)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_every_planted_notice_is_found(spark):
+    """Each form of a license line in the given documents, by one of the two queries."""
+    planted = ["This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    docs = spark.createDataFrame(list(enumerate(f"some words\n{x}" for x in planted)), "doc_id long, text string")
+    found = licenses.scan(docs).unionByName(licenses.scan(docs, licenses.NOTICES)).collect()
+    assert {(r.doc_id, r.start_word) for r in found} >= {(i, 2) for i in range(len(planted))}
+
+
+def test_short_templates(spark):
+    rows = [(1, "All rights reserved."), (2, "all rights"), (3, "ALL RIGHTS RESERVED all rights reserved"), (4, "all the rights reserved"), (5, None), (6, ""), (None, "all rights reserved"), (7, licenses.TEMPLATES["all-rights-reserved"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    short = {(1, 0), (3, 0), (3, 3), (7, 0)}
+    for limit in (licenses.BROADCAST_ROWS, 0):
+        got = licenses.scan(docs, licenses.NOTICES, broadcast_rows=limit).collect()
+        assert {(r.doc_id, r.start_word) for r in got} == short and all(r.n_words == r.n_covered == 3 and r.share == 1 for r in got)
+    both = {(r.doc_id, r.license, r.start_word) for r in licenses.scan(docs, licenses.TEMPLATES | licenses.NOTICES).collect()}
+    assert both == {(i, "all-rights-reserved-notice", p) for i, p in short} | {(7, "all-rights-reserved", 0)}
