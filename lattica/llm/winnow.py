@@ -7,9 +7,10 @@ while the words agree. Every span of at least k + window - 1 common words holds
 a window whose fingerprint both sides keep, so every such span is found; shorter
 ones are not reported.
 
-Defined results. Words are those of `_text`. A null text has no words. Rows that
-repeat a doc_id or item_id are one text, the smallest. Rows without id are never
-reported and, when filtering, always stay. A passage that occurs more than once
+Defined results. Words are those of `_text`. A null text has no words. Spans are
+those of the smallest text of rows that repeat a doc_id or item_id; filtering
+judges each row by its own text. Rows without id are never reported and, when
+filtering, always stay. A passage that occurs more than once
 is reported at each pair of places. An empty table gives an empty result.
 
 Scale. Fingerprints are made and joined inside the scan: the benchmark side is
@@ -70,8 +71,9 @@ def _prints(k: int, window: int):
 
 
 def fingerprints(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(_id, _h, _p) of a table (_id, _text): hash and first word of each fingerprint."""
-    f = _store.arrow(texts, _prints(k, window), "_id long, _f array<struct<h:long,p:int>>")
+    """(_id, _h, _p) of a table (_id, _text): hash and first word of each fingerprint. _id is a long or a struct of longs."""
+    kind = texts.schema["_id"].dataType.simpleString()
+    f = _store.arrow(texts.select("_id", "_text"), _prints(k, window), f"_id {kind}, _f array<struct<h:long,p:int>>")
     return f.select("_id", F.explode("_f").alias("_f")).select("_id", F.col("_f.h").alias("_h"), F.col("_f.p").alias("_p"))
 
 
@@ -98,13 +100,14 @@ def _spans(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, items in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for doc, row, text, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 a = split_words(text)
                 for item in items:
                     for start, at, n in extend(a, split_words(item["t"]), [(h["p"], h["q"]) for h in item["hits"]], least):
-                        rows.append((doc, item["i"], start, at, n))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+                        rows.append((doc, row, item["i"], start, at, n))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "_row", "item_id", "doc_start", "item_start", "n_words"])
 
     return run
 
@@ -113,27 +116,37 @@ def _one(df: DataFrame, id_col: str) -> DataFrame:
     return _store.pick(df, _id=id_col, _text="text").where("_id is not null and _text is not null").withColumn("_id", F.col("_id").cast("long"))
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, n_words): every maximal run of at least k + window - 1 common words of a document and a benchmark item."""
+def _found(docs: DataFrame, benchmark: DataFrame, k: int, window: int, broadcast_rows: int, every: bool) -> DataFrame:
+    """The spans of `spans`, with _row, the hash of the row's text; with `every` those of each row, not of the smallest text only."""
     items = _store.keep(_one(benchmark, "item_id").groupBy("_id").agg(F.min("_text").alias("_text")), "items")
     tests = _store.keep(fingerprints(items, k, window).select(F.col("_id").alias("_item"), "_h", F.col("_p").alias("_q")), "fingerprints")
     small = tests.count() <= broadcast_rows
-    # rows that repeat a doc_id may differ; hits of any of them only select candidates, the smallest text decides
-    train = _one(docs, "doc_id")
-    hits = fingerprints(train, k, window).join(F.broadcast(tests) if small else tests, "_h").groupBy("_id", "_item").agg(F.collect_set(F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"))).alias("hits"))
+    # rows that repeat a doc_id may differ: a hit holds for the text it was found in only
+    train = _one(docs, "doc_id").withColumn("_row", F.xxhash64("_text"))
+    prints = fingerprints(train.select(F.struct("_id", "_row").alias("_id"), "_text"), k, window).select("_id._id", "_id._row", "_h", "_p")
+    hits = prints.join(F.broadcast(tests) if small else tests, "_h").groupBy("_id", "_row", "_item").agg(F.collect_set(F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"))).alias("hits"))
     hits = _store.keep(hits, "hits")
     by_item = hits.join(items.select(F.col("_id").alias("_item"), F.col("_text").alias("t")), "_item")
-    found = by_item.groupBy("_id").agg(F.collect_list(F.struct(F.col("_item").alias("i"), "t", "hits")).alias("_items"))
-    ids = hits.select("_id").distinct()
-    texts = train.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-    return _store.arrow(texts.join(found, "_id").select("_id", "_text", "_items"), _spans(k + window - 1), "doc_id long, item_id long, doc_start int, item_start int, n_words int")
+    found = by_item.groupBy("_id", "_row").agg(F.collect_list(F.struct(F.col("_item").alias("i"), "t", "hits")).alias("_items"))
+    if every:
+        texts = train.join(hits.select("_id", "_row").distinct(), ["_id", "_row"], "left_semi").groupBy("_id", "_row").agg(F.min("_text").alias("_text"))
+    else:
+        texts = train.join(hits.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    both = texts.join(found, ["_id", "_row"]).select("_id", "_row", "_text", "_items")
+    return _store.arrow(both, _spans(k + window - 1), "doc_id long, _row long, item_id long, doc_start int, item_start int, n_words int")
+
+
+def spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, n_words): every maximal run of at least k + window - 1 common words of a document and a benchmark item."""
+    return _found(docs, benchmark, k, window, broadcast_rows, False).drop("_row")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = K + WINDOW - 1, **options) -> DataFrame:
-    """The rows of docs, columns as they came, that share no span of min_words or more words with a benchmark item."""
-    name = _store.free(docs, "_bad")
-    bad = _store.keep(spans(docs, benchmark, **options).where(F.col("n_words") >= min_words).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(bad, F.col("`doc_id`") == F.col(name), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = K + WINDOW - 1, k: int = K, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, columns as they came, whose own text shares no span of min_words or more words with a benchmark item."""
+    name, row = _store.free(docs, "_bad"), _store.free(docs, "_row")
+    found = _found(docs, benchmark, k, window, broadcast_rows, True).where(F.col("n_words") >= min_words)
+    bad = _store.keep(found.select(F.col("doc_id").alias(name), F.col("_row").alias(row)).distinct(), "contaminated")
+    return docs.join(bad, (F.col("`doc_id`") == F.col(name)) & (F.xxhash64("text") == F.col(row)), "left_anti")
 
 
 #: DuckDB: the k-grams of every text, joined as strings and merged along diagonals.

@@ -179,3 +179,20 @@ def test_decontamination_edges(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "7", "7", "None"]
     assert winnow.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
     assert winnow.spans(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts: a short clean one and a long contaminated one, either the smallest."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "a clean text"), (1, "z " * 500 + item), (2, "zz clean"), (2, "a " * 300 + item), (3, None), (3, item), (4, "clean"), (4, "clean")]
+    docs = table(spark, rows)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (winnow.BROADCAST_ROWS, 0):
+        got = {(r.doc_id, r.doc_start, r.item_start, r.n_words) for r in winnow.spans(docs, bench, broadcast_rows=limit).collect()}
+        assert got == {(2, 300, 0, 10), (3, 0, 0, 10)}
+        kept = winnow.drop_contaminated(docs, bench, broadcast_rows=limit)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a clean text"), (2, "zz clean"), (3, None), (4, "clean"), (4, "clean")], key=repr)
+    # a hit of q > 0 beyond the smallest text
+    tail = table(spark, [(1, "clean"), (1, "z " * 500 + item.split(" ", 1)[1])])
+    assert winnow.spans(tail, bench).count() == 0 and winnow.drop_contaminated(tail, bench).count() == 1
