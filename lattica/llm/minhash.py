@@ -9,7 +9,7 @@ their word shingle sets; verified pairs are joined into groups.
 Defined results. A null text is an empty one. Texts of fewer words than a
 shingle have one shingle, all their words. Texts with no word at all have equal
 (empty) sets and form one group. Rows that repeat a doc_id are one document,
-whose text is the smallest of theirs. Rows without doc_id are in no group and
+whose text is the smallest of theirs; a row with that text stays. Rows without doc_id are in no group and
 always stay. A group is named by its smallest doc_id. Other columns are never
 read, whatever their names. An empty table gives an empty result.
 
@@ -179,21 +179,27 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
     return now.select(F.col("_u").alias("_id"), F.col("_v").alias("_root")).unionByName(roots.select(F.col("_v").alias("_id"), F.col("_v").alias("_root")))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id) for every document: the smallest doc_id of its near-duplicate group, its own if it has no near duplicate."""
+def _repeated(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """The ids that more than one row has."""
+    key = F.col(f"`{id_col}`")
+    return _store.keep(docs.where(key.isNotNull()).groupBy(key.cast("long").alias(name)).count().where("count > 1").select(name), "repeated")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, repeated: DataFrame | None = None) -> DataFrame:
+    """(doc_id, group_id) for every document: the smallest doc_id of its near-duplicate group, its own if it has no near duplicate. repeated: the ids of several rows, where they are known."""
     plain = _store.pick(docs, _id=id_col, _text=text_col).where("_id is not null").withColumn("_id", F.col("_id").cast("long"))
-    signed = _store.arrow(plain, _sign(shingle, bands, rows), _SIGNED)
-    # a repeated doc_id: the row whose set has the smallest keys stands for it
-    one = signed.groupBy("_id").agg(F.min(F.struct("_k1", "_k2", "_bands")).alias("_s")).select("_id", "_s.*")
-    one = _store.keep(one, "signed")
+    many = _repeated(docs, id_col, "_id") if repeated is None else repeated.toDF("_id")
+    if not many.isEmpty():  # the smallest text stands for a repeated doc_id; only those texts are shuffled for it
+        smallest = plain.join(many, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
+        plain = plain.join(many, "_id", "left_anti").unionByName(smallest)
+    one = _store.keep(_store.arrow(plain, _sign(shingle, bands, rows), _SIGNED), "signed")
     sets = one.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.min_by("_bands", "_id").alias("_bands"))
     keys = sets.select(F.col("_rep").alias("_id"), F.explode("_bands").alias("_key"))
     w = Window.partitionBy("_key")
     buckets = keys.withColumn("_lead", F.min("_id").over(w)).withColumn("_last", F.max("_id").over(w)).where("_lead < _last").select("_key", "_id", "_lead")
     buckets = _store.keep(buckets, "buckets")
     wanted = buckets.select("_id").distinct()
-    # a doc_id of several rows: the text that is the smallest
-    texts = _store.keep(plain.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
+    texts = _store.keep(plain.join(wanted, "_id", "left_semi"), "texts")
     done = edges = roots = None
     for most in (*ROUNDS, None):
         if done is None:
@@ -220,15 +226,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with one document of each group, the smallest doc_id; of rows that repeat a doc_id one stays. Columns as they came."""
-    found = _store.keep(groups(docs, id_col, text_col, **options), "groups")
-    name = _store.free(docs, "_go")
+    """The rows of docs with one document of each group, the smallest doc_id; of rows that repeat a doc_id one with the smallest text stays. Columns as they came."""
+    name, place = _store.free(docs, "_go"), _store.free(docs, "_place")
+    many = _repeated(docs, id_col, name)
+    found = _store.keep(groups(docs, id_col, text_col, repeated=many, **options), "groups")
     key = F.col(f"`{id_col}`")
     go = found.where("doc_id <> group_id").select(F.col("doc_id").alias(name))
-    many = _store.keep(docs.where(key.isNotNull()).groupBy(key.cast("long").alias(name)).count().where("count > 1").select(name), "repeated")
     on = key == F.col(name)
     if many.isEmpty():  # then documents are joined, and shuffled, once
         return docs.join(go, on, "left_anti")
     single = docs.join(go.unionByName(many), on, "left_anti")
-    repeated = docs.join(many, on, "left_semi").join(go, on, "left_anti").dropDuplicates([id_col])
+    w = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
+    repeated = docs.join(many, on, "left_semi").join(go, on, "left_anti").withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
     return single.unionByName(repeated)

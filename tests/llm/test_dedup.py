@@ -196,3 +196,19 @@ def test_decontamination_of_repeated_ids(spark):
     # a hit of q > 0 beyond the smallest text
     tail = table(spark, [(1, "clean"), (1, "z " * 500 + item.split(" ", 1)[1])])
     assert winnow.spans(tail, bench).count() == 0 and winnow.drop_contaminated(tail, bench).count() == 1
+
+
+def test_dedup_of_repeated_ids(spark):
+    """The smallest text stands for a repeated doc_id: it is signed, compared and kept, whichever row has the smallest keys."""
+    r = random.Random(13)
+    rows, want, left = [], {}, []
+    for i in range(40):
+        low, high = "a " + prose(r, 40), "z " + prose(r, 40)
+        rows += [(i, low), (100 + i, high), (100 + i, low + " end"), (200 + i, high)] if i % 2 else [(i, low), (100 + i, low + " end"), (100 + i, high), (200 + i, high)]
+        want |= {i: i, 100 + i: i, 200 + i: 200 + i}
+        rows += [(300 + i, high + " own " + prose(r, 60)), (300 + i, "a own " + prose(r, 60)), (300 + i, None)]
+        want[300 + i] = 300 + i
+        left += [(i, low), (200 + i, high), (300 + i, rows[-2][1])]
+    docs = table(spark, rows)
+    assert {x.doc_id: x.group_id for x in minhash.groups(docs).collect()} == want
+    assert sorted((x.doc_id, x.text) for x in minhash.dedup(docs).collect()) == sorted(left)
