@@ -8,9 +8,9 @@ a window whose fingerprint both sides keep, so every such span is found; shorter
 ones are not reported.
 
 Defined results. Words are those of `_text`. A null text has no words. Spans are
-those of the smallest text of rows that repeat a doc_id or item_id; filtering
-judges each row by its own text. Rows without id are never reported and, when
-filtering, always stay. A passage that occurs more than once
+those of the smallest text of rows that repeat a doc_id or item_id, and rows
+without id are never reported. Filtering judges each row by its own text against
+every distinct benchmark text, whatever its item_id; rows without doc_id stay. A passage that occurs more than once
 is reported at each pair of places. An empty table gives an empty result.
 
 Scale. Fingerprints are made and joined inside the scan: the benchmark side is
@@ -117,8 +117,12 @@ def _one(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, k: int, window: int, broadcast_rows: int, every: bool) -> DataFrame:
-    """The spans of `spans`, with _row, the hash of the row's text; with `every` those of each row, not of the smallest text only."""
-    items = _store.keep(_one(benchmark, "item_id").groupBy("_id").agg(F.min("_text").alias("_text")), "items")
+    """The spans of `spans`, with _row, the hash of the row's text; with `every` those of each row, not of the smallest text only, with every distinct benchmark text under a number instead of item_id."""
+    if every:
+        items = _store.pick(benchmark, _text="text").where("_text is not null").distinct().select(F.monotonically_increasing_id().alias("_id"), "_text")
+    else:
+        items = _one(benchmark, "item_id").groupBy("_id").agg(F.min("_text").alias("_text"))
+    items = _store.keep(items, "items")
     tests = _store.keep(fingerprints(items, k, window).select(F.col("_id").alias("_item"), "_h", F.col("_p").alias("_q")), "fingerprints")
     small = tests.count() <= broadcast_rows
     # rows that repeat a doc_id may differ: a hit holds for the text it was found in only

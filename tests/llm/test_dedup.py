@@ -212,3 +212,13 @@ def test_dedup_of_repeated_ids(spark):
     docs = table(spark, rows)
     assert {x.doc_id: x.group_id for x in minhash.groups(docs).collect()} == want
     assert sorted((x.doc_id, x.text) for x in minhash.dedup(docs).collect()) == sorted(left)
+
+
+def test_every_benchmark_text_filters(spark):
+    """Benchmark rows without item_id, and other texts of a repeated one, are searched too."""
+    first, second, third = (" ".join(f"{x}{i}" for i in range(10)) for x in "abc")
+    bench = spark.createDataFrame([(1, first), (1, second), (None, third), (3, None), (None, "")], "item_id long, text string")
+    docs = table(spark, [(1, f"x {first}"), (2, f"x {second} y"), (3, f"{third} z"), (4, "clean"), (None, third)])
+    for limit in (winnow.BROADCAST_ROWS, 0):
+        assert sorted(str(r.doc_id) for r in winnow.drop_contaminated(docs, bench, broadcast_rows=limit).collect()) == ["4", "None"]
+    assert {(r.doc_id, r.item_id) for r in winnow.spans(docs, bench).collect()} == {(1, 1)}
