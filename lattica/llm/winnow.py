@@ -7,16 +7,19 @@ while the words agree. Every span of at least k + window - 1 common words holds
 a window whose fingerprint both sides keep, so every such span is found; shorter
 ones are not reported.
 
-Defined results. Words are those of `_text`. A null text has no words. Spans are
-those of the smallest text of rows that repeat a doc_id or item_id, and rows
-without id are never reported. Filtering judges each row by its own text against
-every distinct benchmark text, whatever its item_id; rows without doc_id stay. A passage that occurs more than once
-is reported at each pair of places. An empty table gives an empty result.
+Defined results. Words are those of `_text`; those around a hit are compared by
+their 64-bit hashes. A null text has no words. Spans are those of the smallest
+text of rows that repeat a doc_id or item_id, and rows without id are never
+reported. Filtering judges each row by its own text, whatever its doc_id, against
+every distinct benchmark text, whatever its item_id. A passage that occurs more
+than once is reported at each pair of places. An empty table gives an empty
+result.
 
 Scale. Fingerprints are made and joined inside the scan: the benchmark side is
 broadcast after its rows were counted, and if there are more than
 `broadcast_rows` the join shuffles instead. Texts are read again only for
-documents with a hit.
+documents with a hit, and of their words only those near hits are kept. A very
+long text is fingerprinted block by block.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import grams, runs, split_words, words
+from ._text import at_places, grams, long_grams, long_text, runs, word_sql, words
 
 K, WINDOW = 5, 4
 #: Fingerprints of 16 bytes; 2 M of them are some 32 MB.
@@ -57,15 +60,23 @@ def winnow(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
 
 
 def _prints(k: int, window: int):
+    def lists(ids: pa.Array, h: np.ndarray, pos: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        pair = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32))], names=["h", "p"])
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets.astype(np.int32), pair)], names=["_id", "_f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for low, high in runs(texts):
-                h, doc, pos = grams(words(texts[low:high]), k)
-                at = winnow(h, doc, window)
-                offsets = np.searchsorted(doc[at], np.arange(high - low + 1)).astype(np.int32)
-                pair = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(pos[at].astype(np.int32))], names=["h", "p"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(offsets, pair)], names=["_id", "_f"])
+                raw = long_text(texts, low, high)
+                if raw is None:
+                    h, doc, pos = grams(words(texts.slice(low, high - low).to_pylist()), k)
+                    at = winnow(h, doc, window)
+                    yield lists(ids.slice(low, high - low), h[at], pos[at], np.searchsorted(doc[at], np.arange(high - low + 1)))
+                    continue
+                for h, pos in long_grams(raw, k, window - 1):
+                    at = winnow(h, np.zeros(len(h), np.int8), window)
+                    yield lists(ids.slice(low, 1), h[at], pos[at], np.array([0, len(at)]))
 
     return run
 
@@ -77,18 +88,18 @@ def fingerprints(texts: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
     return f.select("_id", F.explode("_f").alias("_f")).select("_id", F.col("_f.h").alias("_h"), F.col("_f.p").alias("_p"))
 
 
-def extend(a: list, b: list, hits: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Maximal runs of equal words (start in a, start in b, length) around the hits, of at least `least` words."""
+def extend(a: dict[int, int], b: list[int], hits: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Maximal runs of equal words (start in a, start in b, length) around the hits, of at least `least` words. a: words by place, those that b may reach from a hit."""
     found, out = {}, []
     for p, q in sorted(hits):
         end = found.get(p - q)
         if end is not None and p < end:
             continue
         i, j = p, q
-        while i and j and a[i - 1] == b[j - 1]:
+        while j and a.get(i - 1) == b[j - 1]:
             i, j = i - 1, j - 1
         e, f = p, q
-        while e < len(a) and f < len(b) and a[e] == b[f]:
+        while f < len(b) and a.get(e) == b[f]:
             e, f = e + 1, f + 1
         found[p - q] = max(e, p + 1)
         if e - i >= least:
@@ -96,14 +107,31 @@ def extend(a: list, b: list, hits: list[tuple[int, int]], least: int) -> list[tu
     return out
 
 
+def near(hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges of places, ascending and apart, that texts of n words may cover from hits (p, q, n)."""
+    out: list[list[int]] = []
+    for low, high in sorted((max(0, p - q), p - q + n) for p, q, n in hits):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return [(low, high) for low, high in out]
+
+
 def _spans(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}  # words of the items of a batch
         for batch in batches:
             rows = []
-            for doc, row, text, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                a = split_words(text)
+            known.clear()
+            for i in range(batch.num_rows):
+                doc, row, items = (batch.column(c)[i].as_py() for c in (0, 1, 3))
                 for item in items:
-                    for start, at, n in extend(a, split_words(item["t"]), [(h["p"], h["q"]) for h in item["hits"]], least):
+                    if item["i"] not in known:
+                        known[item["i"]] = words([item["t"]]).hash.tolist()
+                a = at_places(batch.column(2)[i].as_buffer(), near([(h["p"], h["q"], len(known[x["i"]])) for x in items for h in x["hits"]]))
+                for item in items:
+                    for start, at, n in extend(a, known[item["i"]], [(h["p"], h["q"]) for h in item["hits"]], least):
                         rows.append((doc, row, item["i"], start, at, n))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -117,7 +145,7 @@ def _one(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, k: int, window: int, broadcast_rows: int, every: bool) -> DataFrame:
-    """The spans of `spans`, with _row, the hash of the row's text; with `every` those of each row, not of the smallest text only, with every distinct benchmark text under a number instead of item_id."""
+    """The spans of `spans`, with _row; with `every` those of each distinct text, known by its hash as doc_id and its length as _row, with every distinct benchmark text under a number instead of item_id."""
     if every:
         items = _store.pick(benchmark, _text="text").where("_text is not null").distinct().select(F.monotonically_increasing_id().alias("_id"), "_text")
     else:
@@ -125,8 +153,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, k: int, window: int, broadcast
     items = _store.keep(items, "items")
     tests = _store.keep(fingerprints(items, k, window).select(F.col("_id").alias("_item"), "_h", F.col("_p").alias("_q")), "fingerprints")
     small = tests.count() <= broadcast_rows
-    # rows that repeat a doc_id may differ: a hit holds for the text it was found in only
-    train = _one(docs, "doc_id").withColumn("_row", F.xxhash64("_text"))
+    if every:
+        train = _store.pick(docs, _text="text").where("_text is not null").select(F.xxhash64("_text").alias("_id"), F.octet_length("_text").cast("long").alias("_row"), "_text")
+    else:  # rows that repeat a doc_id may differ: a hit holds for the text it was found in only
+        train = _one(docs, "doc_id").withColumn("_row", F.xxhash64("_text"))
     prints = fingerprints(train.select(F.struct("_id", "_row").alias("_id"), "_text"), k, window).select("_id._id", "_id._row", "_h", "_p")
     hits = prints.join(F.broadcast(tests) if small else tests, "_h").groupBy("_id", "_row", "_item").agg(F.collect_set(F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"))).alias("hits"))
     hits = _store.keep(hits, "hits")
@@ -150,15 +180,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = K
     name, row = _store.free(docs, "_bad"), _store.free(docs, "_row")
     found = _found(docs, benchmark, k, window, broadcast_rows, True).where(F.col("n_words") >= min_words)
     bad = _store.keep(found.select(F.col("doc_id").alias(name), F.col("_row").alias(row)).distinct(), "contaminated")
-    return docs.join(bad, (F.col("`doc_id`") == F.col(name)) & (F.xxhash64("text") == F.col(row)), "left_anti")
+    return docs.join(bad, (F.xxhash64("text") == F.col(name)) & (F.octet_length("text") == F.col(row)), "left_anti")
 
 
 #: DuckDB: the k-grams of every text, joined as strings and merged along diagonals.
-ORACLE_SQL = r"""
+ORACLE_SQL = f"""
 WITH toks AS (
-  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '(?:[0-9a-z_]|[^\x00-\x7F])+') AS w FROM (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id)
+  SELECT 'd' AS kind, doc_id AS id, {word_sql("text")} AS w FROM (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id)
   UNION ALL
-  SELECT 'b', item_id, regexp_extract_all(lower(text), '(?:[0-9a-z_]|[^\x00-\x7F])+') FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id)
+  SELECT 'b', item_id, {word_sql("text")} FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id)
 ), g AS (
   SELECT kind, id, p - 1 AS p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT kind, id, w, unnest(range(1, len(w) - 6)) AS p FROM toks)
 ), hits AS (

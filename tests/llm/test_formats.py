@@ -227,12 +227,12 @@ def brute_scan(docs):
             diagonals = sorted({p - q for p in range(len(a) - 3) for q in range(len(b) - 3) if a[p : p + 4] == b[q : q + 4]})
             groups = []
             for d in diagonals:
-                if groups and d - groups[-1][-1] <= licenses.GAP:
+                if groups and d - groups[-1][-1] <= licenses.merging_gap(len(b)):
                     groups[-1].append(d)
                 else:
                     groups.append([d])
             for g in groups:
-                hit, first, last = licenses.covered(a, b, g, licenses.K)
+                hit, first, last = licenses.covered(dict(enumerate(a)), b, g, licenses.K)
                 if len(hit) >= licenses.SHARE * len(b):
                     out.add((i, name, first, last - first + 1, len(hit), round(len(hit) / len(b), 6)))
     return out
@@ -259,6 +259,16 @@ def test_scan_equals_brute_force(spark):
         assert {tuple(x) for x in licenses.scan(df, broadcast_rows=limit).collect()} == want
 
 
+def test_license_with_words_put_in(spark):
+    """A longer insertion in the middle, parts of whole licenses, and other quotation marks."""
+    bsd = licenses.TEMPLATES["bsd"].split()
+    at = len(bsd) // 2
+    rows = [(1, " ".join([*bsd[:at], *"in this position and unchanged".split(), *bsd[at:]])), (2, licenses.TEMPLATES["mit-disclaimer"]), (3, "\n".join(licenses.TEMPLATES[x] for x in ("bsd", "bsd-3-clause", "bsd-disclaimer"))), (4, licenses.TEMPLATES["mit"].replace('"Software"', "“Software”"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert got >= {(1, "bsd"), (2, "mit-disclaimer"), (3, "bsd"), (3, "bsd-3-clause"), (3, "bsd-disclaimer"), (4, "mit")}
+
+
 def test_license_edges(spark):
     mit = licenses.TEMPLATES["mit"]
     rows = [(1, None), (2, ""), (3, mit.upper()), (4, "x " * 60_000 + mit), (5, mit + " between " + mit), (6, "Permission is hereby granted, free of charge"), (None, mit), (7, mit), (7, mit)]
