@@ -8,8 +8,9 @@ acceptable: of good quality and not toxic.
 
 Training reads a bounded sample of labelled rows (`max_rows`, `max_chars`, taken
 in hash order of doc_id, so at random) and runs a fixed number of steps on the
-driver. Scoring reads every text whole, has no shuffle, and carries a model of
-some 40 kB to the tasks.
+driver. Scoring reads every text whole, in blocks of `MEMORY` bytes of which only
+the running maximum and sum are kept, has no shuffle, and carries a model of some
+40 kB to the tasks.
 
 Defined results. A null or empty text has probability 0. A label row without
 doc_id or quality is ignored, a null toxic counts as 0; of labels that repeat a
@@ -25,35 +26,46 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
 
-MAX_ROWS, MAX_CHARS, STEPS, RATE, THRESHOLD = 8192, 48_000_000, 1000, 0.015, 0.8
+MAX_ROWS, MAX_CHARS, STEPS, RATE, MARGIN = 8192, 48_000_000, 1000, 0.015, 4 / 3
 CHUNK, STRIDE, WIDTH, BLOCK = 512, 480, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
 #: Bytes seen by one block of BLOCK neighbouring filter positions.
 SPAN = 12
 PAD = 256
 _SLICE = 8
+#: Bytes of texts that are laid out in chunks at once.
+MEMORY = 1 << 18
 
 
-def chunked(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def n_chunks(size: np.ndarray) -> np.ndarray:
+    """How many chunks texts of so many bytes have."""
+    return np.where(size > 0, np.maximum(0, -((CHUNK - SPAN - size) // STRIDE)) + 1, 0)
+
+
+def chunked(texts: Sequence[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """All chunks (uint16, PAD beyond a text's end) and the offset of each text's first."""
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    raw = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
     size = np.array([len(r) for r in raw], np.int64)
     buf = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
     begin = np.concatenate(([0], np.cumsum(size)))
-    count = np.where(size > 0, np.maximum(0, -((CHUNK - SPAN - size) // STRIDE)) + 1, 0)
+    count = n_chunks(size)
     first = np.concatenate(([0], np.cumsum(count)))
     doc = np.repeat(np.arange(len(raw)), count)
     at = begin[doc] + (np.arange(first[-1]) - first[doc]) * STRIDE
+    return _laid_out(buf, at, begin[doc + 1]), first
+
+
+def _laid_out(buf: np.ndarray, at: np.ndarray, end: np.ndarray | int) -> np.ndarray:
     index = at[:, None] + np.arange(CHUNK)
-    end = begin[doc + 1][:, None]
     out = buf[np.minimum(index, len(buf) - 1)].astype(np.uint16)
-    out[index >= end] = PAD
-    return out, first
+    out[index >= (end[:, None] if isinstance(end, np.ndarray) else end)] = PAD
+    return out
 
 
 @dataclass
@@ -66,6 +78,8 @@ class Model:
     top: np.ndarray  # weights of the maximum, then of the mean
     top_bias: np.ndarray
     constant: float | None = None
+    #: Least probability of a text to be kept: odds MARGIN times those of the labels.
+    threshold: float = 0.5
     _wide: np.ndarray | None = field(default=None, repr=False)
 
     @staticmethod
@@ -103,33 +117,61 @@ class Model:
                 best[low : low + _SLICE] = y.max(axis=1)
         return best, at
 
+    def hidden(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filter answers and features of chunks."""
+        p = np.maximum(pooled + self.bias, 0)
+        return p, np.maximum(p @ self.dense + self.dense_bias, 0)
+
+    def answer(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        z = most @ self.top[:HIDDEN] + mean @ self.top[HIDDEN:] + self.top_bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def combine(self, pooled: np.ndarray, first: np.ndarray) -> tuple:
         """Probabilities of the texts and what the backward pass needs."""
-        p = np.maximum(pooled + self.bias, 0)
-        h = np.maximum(p @ self.dense + self.dense_bias, 0)
+        p, h = self.hidden(pooled)
         size = np.maximum(np.diff(first), 1)[:, None]
         most, mean = np.zeros((len(first) - 1, HIDDEN), np.float32), np.zeros((len(first) - 1, HIDDEN), np.float32)
         some = np.flatnonzero(np.diff(first))
         if len(some):
             most[some] = np.maximum.reduceat(h, first[some])
             mean[some] = np.add.reduceat(h, first[some]) / size[some]
-        z = most @ self.top[:HIDDEN] + mean @ self.top[HIDDEN:] + self.top_bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), p, h, most, mean, size
-
-    def score(self, texts: Sequence[str | None]) -> np.ndarray:
-        if self.constant is not None:
-            return np.array([self.constant if t else 0.0 for t in texts])
+        return self.answer(most, mean), p, h, most, mean, size
+
+    def _long(self, raw: bytes | memoryview) -> float:
+        """The probability of one text, some chunks at a time."""
+        buf, n = np.frombuffer(raw, np.uint8), int(n_chunks(np.array([len(raw)]))[0])
+        most, total = np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float64)
+        for low in range(0, n, MEMORY // STRIDE):
+            at = np.arange(low, min(n, low + MEMORY // STRIDE)) * STRIDE
+            h = self.hidden(self.pool(_laid_out(buf, at, len(buf)))[0])[1]
+            most, total = np.maximum(most, h.max(axis=0)), total + h.sum(axis=0, dtype=np.float64)
+        return float(self.answer(most[None], (total / n).astype(np.float32)[None])[0])
+
+    def score(self, texts: Sequence[str | None] | pa.Array) -> np.ndarray:
+        """Probabilities of the texts; a text of more than MEMORY bytes is not laid out at once."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([None if t is None else t.encode("utf-8", "replace") for t in texts], pa.binary())
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.zeros(len(texts))
-        low = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size > 200_000 or i == len(texts) - 1:
-                chunks, first = chunked(texts[low : i + 1])
-                if len(chunks):
-                    found = self.combine(self.pool(chunks)[0], first)[0]
-                    found[np.diff(first) == 0] = 0
-                    out[low : i + 1] = found
-                low, size = i + 1, 0
+        if self.constant is not None:
+            out[size > 0] = self.constant
+            return out
+        raw = lambda i: memoryview(texts[i].as_buffer()) if size[i] else b""
+        low = 0
+        while low < len(texts):
+            if size[low] > MEMORY:
+                out[low] = self._long(raw(low))
+                low += 1
+                continue
+            high = low + 1
+            while high < len(texts) and size[low : high + 1].sum() <= MEMORY:
+                high += 1
+            chunks, first = chunked([raw(i) for i in range(low, high)])
+            if len(chunks):
+                found = self.combine(self.pool(chunks)[0], first)[0]
+                found[np.diff(first) == 0] = 0
+                out[low:high] = found
+            low = high
         return out
 
 
@@ -187,7 +229,9 @@ def train(texts: Sequence[str], labels: Sequence[int], steps: int = STEPS, batch
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             p -= (now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    model.top_bias += np.float32(np.log(len(kinds[1]) / len(kinds[0])))
+    odds = len(kinds[1]) / len(kinds[0])
+    model.top_bias += np.float32(np.log(odds))
+    model.threshold = MARGIN * odds / (1 + MARGIN * odds)
     model._wide = model.wide()
     return model
 
@@ -216,19 +260,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], names=["doc_id", "p_accept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1)))], names=["doc_id", "p_accept"])
 
     return _store.arrow(_store.pick(docs, doc_id="doc_id", _text="text").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, p_accept double")
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, columns as they came, whose probability reaches the threshold."""
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, columns as they came, whose probability reaches the model's threshold."""
     names, schema = docs.columns, docs.schema
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = model.score(batch.column(text).to_pylist()) >= threshold
+            good = model.score(batch.column(text)) >= model.threshold
             yield batch.filter(pa.array(good))
 
     return _store.arrow(docs, run, schema)

@@ -3,7 +3,10 @@
 A leaf block is a run of text between two boundaries of block elements; inline
 elements do not end it. The open elements around it are its ancestors. Comments,
 scripts, styles and the head are skipped. Unclosed paragraphs, list items, table
-cells and the like are closed as HTML does; a stray end tag is ignored.
+cells and the like are closed as HTML does; a stray end tag is ignored. Elements
+more than `DEPTH` deep are not entered: what is in them belongs to the last one that
+was, as browsers do. A tag whose `>` is missing is text. Reading takes time in
+proportion to the text, whatever it holds.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ import re
 from html import unescape
 from typing import NamedTuple
 
+DEPTH = 512
 #: A tag whose end is missing is text; attribute values may hold `>`.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input select option button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -29,6 +33,13 @@ class Block(NamedTuple):
     linked: int  # characters inside links
 
 
+def _endless(m: re.Match) -> bool:
+    """Whether a token is a comment or a raw element without its end."""
+    if m[0].startswith("<!--"):
+        return not m[0].endswith("-->")
+    return bool(m[1]) and not re.search(r"</[^<>]*>\Z", m[0])
+
+
 def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # block elements and their class, id and role
@@ -55,7 +66,9 @@ def blocks(html: str | None) -> list[Block]:
             if link:
                 linked += len(piece.strip())
 
-    for m in _TOKEN.finditer(html):
+    # no tag ends behind the last `>`, so none is looked for there
+    stop, m = html.rfind(">") + 1, None
+    for m in _TOKEN.finditer(html, 0, stop):
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
@@ -95,10 +108,10 @@ def blocks(html: str | None) -> list[Block]:
                         break
                 elif stack[i][0] in scope:
                     break
-        if name not in _VOID:
+        if name not in _VOID and len(stack) < DEPTH:
             attrs = m[4]
             stack.append((name, " ".join("".join(x) for x in _ATTR.findall(attrs)).lower() if "=" in attrs else ""))
-    if at < len(html):
-        text(html[at:])
+    if at < len(html) and not (m and m.end() == stop and _endless(m)):
+        text(html[at:].partition("<!--")[0])
     flush()
     return out

@@ -1,12 +1,15 @@
 """Held-out accuracy of the two trained models, and their edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
 from lattica.llm import bytecnn, crf, dom
 
+from .pages import PAGES, labelled
+
 
 def samples(n, seed):
     r = random.Random(seed)
@@ -36,7 +39,7 @@ def test_held_out_accuracy(model):
     x = samples(300, 2)
     p = model.score([t for t, _ in x])
     y = np.array([y for _, y in x])
-    assert ((p >= bytecnn.THRESHOLD) == y).mean() > 0.95
+    assert ((p >= model.threshold) == y).mean() > 0.95
 
 
 def test_whole_text_counts(model):
@@ -79,6 +82,14 @@ def test_pooling_equals_plain_convolution():
     assert covered[: len(("some text of bytes é " * 60).encode()) - bytecnn.WIDTH].all()
 
 
+def test_long_texts_in_parts(model, monkeypatch):
+    """A text scored some chunks at a time has the probability of one that is laid out at once."""
+    texts = [t * n for n in (1, 7, 40) for t, _ in samples(4, 9)] + ["", "x" * bytecnn.CHUNK, None]
+    at_once = model.score(texts)
+    monkeypatch.setattr(bytecnn, "MEMORY", 10 * bytecnn.STRIDE)
+    assert np.abs(model.score(texts) - at_once).max() < 1e-5
+
+
 def test_classifier_edges(spark, model):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "lorem ipsum dolor sit amet " * 20, 3), (4, "lorem ipsum dolor sit amet " * 30_000, 4), (4, "lorem ipsum dolor sit amet " * 20, 4)], "doc_id long, text string, p_accept int")
     got = bytecnn.score(docs, model).collect()
@@ -102,6 +113,19 @@ def test_crf_held_out():
     assert right / total > 0.97
 
 
+def test_crf_on_pages_labelled_by_hand():
+    """Pages without <article> in layouts that the training pages do not have: all content is kept, and little else."""
+    m = crf.train(crf.labelled_pages())
+    right = total = 0
+    for page in PAGES:
+        html, y = labelled(page)
+        assert "<article" not in html
+        got = m.decode([crf.features(dom.blocks(html))])[0]
+        assert all(a for a, b in zip(got, y, strict=True) if b)
+        right, total = right + (got == np.array(y)).sum(), total + len(y)
+    assert right / total > 0.93
+
+
 def test_crf_likelihood_and_viterbi_equal_enumeration():
     r = np.random.default_rng(4)
     m = crf.Model(r.normal(size=crf.FEATURES), r.normal(size=(2, 2)), 0.3)
@@ -138,6 +162,20 @@ def test_dom_blocks():
     assert dom.blocks(None) == dom.blocks("") == dom.blocks("<div></div><!--") == []
 
 
+@pytest.mark.parametrize("html", ["<p " + "a" * 1_000_000 + "<b>x</b>", "<script" * 100_000, "<!" * 200_000, '<p "' * 100_000, "<!--" * 100_000, "<div>" * 50_000 + "x", "</p>" * 50_000])
+def test_malformed_pages_take_no_time(html):
+    """Tags without end, in texts that a backtracking pattern would never get through."""
+    begin = time.monotonic()
+    dom.blocks(html)
+    assert time.monotonic() - begin < 10
+
+
+def test_unfinished_tails():
+    show = lambda h: [b.text for b in dom.blocks(h)]
+    assert show("<p>a</p><!-- x > y") == ["a"] and show("<p>a</p>tail <b") == ["a", "tail <b"] and show("<p>a<script>x>1;") == ["a"] and show("<p>a</p>t<!-- c") == ["a", "t"]
+    assert max(len(b.tags) for b in dom.blocks("<div>x" * 600)) == dom.DEPTH
+
+
 def test_extraction_edges(spark):
     m = crf.train(crf.labelled_pages(100), steps=60)
     page = "<nav><a>x</a></nav><article><p>A sentence, long enough to be read as text by anyone.</p></article>"
