@@ -8,7 +8,8 @@ sources). If some source would then be read more than `repeats` times, a is
 raised, again by bisection, until none is.
 
 The weights are then realised. With a budget of B tokens, source s may spend
-floor(B * w_s). Its documents are cut into blocks, ranges of `block` consecutive
+floor(B * w_s). A budget of more than `repeats` times all tokens cannot be kept to
+and counts as that many. Its documents are cut into blocks, ranges of `block` consecutive
 doc_ids. Each epoch permutes the blocks by a hash keyed with the epoch; inside a
 block the order is that of doc_id. Whole epochs come first, then one more as far
 as the budget lasts: a document is taken when the tokens before it in that epoch
@@ -86,7 +87,7 @@ def _plan(sources: list[tuple], budget: int | None, entropy: float, repeats: flo
     if not sources:
         return [], 1.0
     total = sum(n for _, n in sources)
-    budget = total if budget is None else budget
+    budget = min(total if budget is None else budget, math.floor(repeats * total))
     a = exponent([n for _, n in sources], budget, entropy, repeats)
     raw = [(n / total) ** a for _, n in sources]
     whole = sum(raw)

@@ -13,12 +13,13 @@ that repeat a key stay together. There may be fewer shards than asked for. Other
 columns pass through untouched. An empty table gives an empty result.
 
 Scale. Sizes are aggregated by key and summed up range by range, so no task sees
-all of them. The optimum C lies in [L, L + m], where L is the larger of the mean
-shard and the largest group m, and the j-th greedy cut at a capacity c lies in
-(j(c - m), jc] of the running sum. Only running sums in these windows are ever
-fetched, about shards * shards * m / 2 bytes of text in all, however large the
-corpus is; if that is more than `fetch` values, a test fetches its windows by
-groups of cuts. The cuts are keys, so the shard of a row is a comparison with a
+all of them. The driver knows the running sums through `Ladder`: at first the first
+and last sum of `GRAINS` equal stretches of the whole, which bound every greedy cut
+from below and above. A capacity that is feasible by the lower bounds, or not even
+by the upper ones, is decided; only where the bounds disagree are the stretches that
+its cuts fall into cut into `FINER` parts each, on the executors. What the driver
+holds and fetches depends on `shards` and these numbers, not on the table or on the
+largest group. The cuts are keys, so the shard of a row is a comparison with a
 sorted list of at most `shards` keys: texts are not shuffled.
 """
 
@@ -33,37 +34,84 @@ from pyspark.sql.window import Window
 
 from . import _store
 
-SHARDS, FETCH = 64, 2_000_000
-
-
-def greedy(sums: Callable[[int, int], np.ndarray], capacity: int, shards: int, largest: int, total: int, together: int) -> list[int] | None:
-    """Running sums at which greedy filling ends a shard, or None if it takes more than `shards`. sums(a, b) are the running sums in (a, b]; `together` cuts are asked for at once."""
-    ends, at = [], 0
-    while at < total:
-        left = min(together, shards - len(ends))
-        if left <= 0:
-            return None
-        known = sums(at, min(total, at + left * capacity))
-        for _ in range(left):
-            i = int(np.searchsorted(known, at + capacity, "right")) - 1
-            at = int(known[i])
-            ends.append(at)
-            if at >= total:
-                break
-    return ends
-
-
-def smallest(sums: Callable[[int, int], np.ndarray], shards: int, largest: int, total: int, together: int) -> tuple[int, list[int]]:
+SHARDS, GRAINS, FINER = 64, 65_536, 16
+
+
+class Ladder:
+    """Bounds of the largest running sum up to a value. ask(windows, width): first and last sum of each stretch of `width` in the closed windows, ascending."""
+
+    def __init__(self, ask: Callable[[list[tuple[int, int]] | None, int], np.ndarray], total: int, grains: int = GRAINS, finer: int = FINER):
+        self.ask, self.total, self.finer = ask, total, finer
+        self._set(ask(None, -(-total // grains)))
+
+    def _set(self, pairs: np.ndarray) -> None:
+        self.low, self.high = pairs[:, 0].copy(), pairs[:, 1].copy()
+
+    def bounds(self, below: int, above: int) -> tuple[int, int]:
+        """Bounds of the largest sum up to a value that itself lies in [below, above]; 0 if there is none."""
+        i, j = (int(np.searchsorted(self.low, x, "right")) - 1 for x in (below, above))
+        least = 0 if i < 0 else int(self.high[i]) if self.high[i] <= below else int(self.low[i])
+        return least, 0 if j < 0 else min(above, int(self.high[j]))
+
+    def refine(self, windows: list[tuple[int, int]], most: int = 128) -> bool:
+        """Cut the widest of the stretches that the windows touch, in the first `most` runs of them; False if all of them are single sums."""
+        pick = np.zeros(len(self.low), bool)
+        for a, b in windows:
+            pick[max(0, int(np.searchsorted(self.low, a, "right")) - 1) : int(np.searchsorted(self.low, b, "right"))] = True
+        wide = np.where(pick, self.high - self.low, 0)
+        if not wide.any():
+            return False
+        # what is narrower than the new width would grow by it
+        width = int(wide.max()) // self.finer + 1
+        at = np.flatnonzero(wide >= width)
+        parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)[:most]
+        fresh = self.ask([(int(self.low[p[0]]), int(self.high[p[-1]])) for p in parts], width)
+        left = np.ones(len(self.low), bool)
+        left[np.concatenate(parts)] = False
+        pairs = np.concatenate((np.stack([self.low, self.high], 1)[left], fresh))
+        self._set(pairs[np.argsort(pairs[:, 0])])
+        return True
+
+    def greedy(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Bounds of the running sums at which greedy filling ends a shard, until even the lower one has all, or shards + 1 of them."""
+        out, low, high = [], 0, 0
+        while low < self.total and len(out) <= shards:
+            below, above = self.bounds(low + capacity, min(self.total, high + capacity))
+            if below <= low:  # not known to get on
+                below = low
+            low, high = below, above
+            out.append((low, high))
+        return out
+
+
+def feasible(sums: Ladder, capacity: int, shards: int) -> bool:
+    """Whether greedy filling to the capacity takes at most `shards` shards."""
+    while True:
+        cuts_ = sums.greedy(capacity, shards)
+        if len(cuts_) <= shards:
+            return True
+        if cuts_[shards - 1][1] < sums.total:
+            return False
+        # the first cut that is not known was looked for up to a capacity behind the one before
+        if not sums.refine([(a + capacity, b + capacity) for a, b in [(0, 0), *cuts_[:shards]]]):
+            raise AssertionError("bounds of single sums disagree")
+
+
+def smallest(sums: Ladder, shards: int, largest: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity and its cuts."""
-    low = max(largest, -(-total // shards))
+    low = max(largest, -(-sums.total // shards))
     high = low + largest
     while low < high:
         mid = (low + high) // 2
-        if greedy(sums, mid, shards, largest, total, together) is None:
-            low = mid + 1
-        else:
+        if feasible(sums, mid, shards):
             high = mid
-    return low, greedy(sums, low, shards, largest, total, together)
+        else:
+            low = mid + 1
+    while True:
+        cuts_ = sums.greedy(low, shards)
+        if all(a == b for a, b in cuts_):
+            return low, [a for a, _ in cuts_]
+        sums.refine([(a + low, b + low) for a, b in [(0, 0), *cuts_]])
 
 
 def running(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,27 +125,24 @@ def running(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return _store.keep(ranged.withColumn("_in", F.sum("_size").over(inside)).join(F.broadcast(parts), "_part").select("_key", "_size", (F.col("_before") + F.col("_in")).alias("_sum")), "sums")
 
 
-def cuts(sums: DataFrame, shards: int = SHARDS, fetch: int = FETCH) -> tuple[int, list[int]]:
+def cuts(sums: DataFrame, shards: int = SHARDS, grains: int = GRAINS, finer: int = FINER) -> tuple[int, list[int]]:
     """Capacity and running sums at the ends of the shards."""
-    row = sums.agg(F.max("_sum"), F.max("_size"), F.count("*")).first()
-    total, largest, n = row[0] or 0, row[1] or 0, row[2]
+    row = sums.agg(F.max("_sum"), F.max("_size")).first()
+    total, largest = row[0] or 0, row[1] or 0
     if not total:
         return 0, []
-    # cuts whose windows hold at most `fetch` running sums, going by the mean group
-    each = max(1.0, largest * n / total)
-    together = int(max(1, min(shards, (2 * fetch / each) ** 0.5)))
-    low = max(largest, -(-total // shards))
-    ask = lambda windows: np.unique(np.array([r[0] for r in sums.where(_any(windows)).select("_sum").distinct().collect()], np.int64))
-    if together >= shards:
-        all_at_once = ask([(j * (low - largest), min(total, j * (low + largest))) for j in range(1, shards + 1)])
-        get = lambda a, b: all_at_once
-    else:
-        get = lambda a, b: ask([(a, b)])
-    return smallest(get, shards, largest, total, together)
+
+    def ask(windows: list[tuple[int, int]] | None, width: int) -> np.ndarray:
+        own = sums.where("_sum > 0") if windows is None else sums.where(_any(windows))
+        # at most `grains` rows, or `finer` + 1 for each stretch that a cut may fall into
+        found = own.groupBy(F.floor(F.col("_sum") / F.lit(width)).alias("_g")).agg(F.min("_sum"), F.max("_sum")).drop("_g").collect()
+        return np.array(sorted((r[0], r[1]) for r in found), np.int64).reshape(-1, 2)
+
+    return smallest(Ladder(ask, total, grains, finer), shards, largest)
 
 
 def _any(windows: list[tuple[int, int]]) -> Column:
-    """_sum lies in one of the windows (a, b]; overlapping ones are merged."""
+    """_sum lies in one of the closed windows; neighbouring ones are merged, so that Parquet skips what lies outside."""
     merged: list[list[int]] = []
     for a, b in sorted(windows):
         if merged and a <= merged[-1][1]:
@@ -106,14 +151,14 @@ def _any(windows: list[tuple[int, int]]) -> Column:
             merged.append([a, b])
     out = F.lit(False)
     for a, b in merged:
-        out = out | ((F.col("_sum") > a) & (F.col("_sum") <= b))
+        out = out | F.col("_sum").between(a, b)
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", fetch: int = FETCH, name: str = "shard_id") -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", name: str = "shard_id", grains: int = GRAINS, finer: int = FINER) -> DataFrame:
     """docs with the column shard_id, counted from 0 (in place of a column of that name)."""
     sums = running(docs, key)
-    _, ends = cuts(sums, shards, fetch)
+    _, ends = cuts(sums, shards, grains, finer)
     # the last key of each shard but the last one; groups of no size belong with the group before them
     found = sums.where(F.col("_sum").isin(ends[:-1]) & F.col("_key").isNotNull()).groupBy("_sum").agg(F.max("_key").alias("_last")).collect() if len(ends) > 1 else []
     last = {r["_sum"]: r["_last"] for r in found}

@@ -84,6 +84,8 @@ def test_mixing_edges(spark):
     got = mixing.mix(docs).collect()
     assert len(got) >= 3 and "only blanks" not in {r.source for r in got}
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.draws(docs.where("text = ''")).count() == 0
+    much = Counter(r.doc_id for r in mixing.mix(table(spark, [(1, "a b", "s"), (2, "c", "t")]), budget=10_000).collect())
+    assert max(much.values()) == mixing.REPEATS  # a budget beyond all repeats
     one = mixing.mix(table(spark, [(i, "a b", "s") for i in range(10)]))
     assert sorted(r.doc_id for r in one.collect()) == list(range(10))
 
@@ -108,23 +110,62 @@ def brute_capacity(sizes, n):
     return low
 
 
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 12), st.integers(1, 12))
+def ladder(sums, grains, finer, seen=None):
+    """A Ladder over an array, as the table answers it."""
+
+    def ask(windows, width):
+        own = sums[sums > 0] if windows is None else np.concatenate([sums[np.searchsorted(sums, a) : np.searchsorted(sums, b, "right")] for a, b in windows])
+        cut = np.flatnonzero(np.diff(own // width)) + 1
+        out = np.stack([own[np.concatenate(([0], cut))], own[np.concatenate((cut - 1, [len(own) - 1]))]], 1)
+        if seen is not None:
+            seen.append(len(out))
+        return out
+
+    return shards.Ladder(ask, int(sums[-1]), grains, finer)
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 12), st.integers(1, 40), st.integers(2, 5))
 @settings(deadline=None)
-def test_smallest_capacity(sizes, n, together):
+def test_smallest_capacity(sizes, n, grains, finer):
     if not sum(sizes):
         return
-    sums = np.cumsum(sizes)
-    seen = lambda a, b: np.unique(sums[(sums > a) & (sums <= b)])
-    cap, ends = shards.smallest(seen, n, max(sizes), int(sums[-1]), together)
+    cap, ends = shards.smallest(ladder(np.cumsum(sizes), grains, finer), n, max(sizes))
     assert cap == brute_capacity(sizes, n) and len(ends) <= n and max(np.diff([0, *ends])) <= cap
 
 
-@pytest.mark.parametrize("fetch", [shards.FETCH, 8])
-def test_assign(spark, fetch):
+def test_what_the_driver_fetches_is_bounded():
+    """Two million groups, one of them large: far fewer sums than groups are asked for, at most about 2000 stretches at a time after the first."""
+    sizes = np.random.default_rng(1).integers(1, 4000, 2_000_000)
+    sizes[777_777] = 3_000_000_000
+    seen = []
+    cap, ends = shards.smallest(ladder(np.cumsum(sizes), 4096, 16, seen), 64, int(sizes.max()))
+    assert cap == brute_capacity_of(np.cumsum(sizes), 64, int(sizes.max())) and len(ends) <= 64
+    assert seen[0] <= 4096 + 1 and max(seen[1:], default=0) < 40_000 and sum(seen) < 500_000
+
+
+def brute_capacity_of(sums, n, largest):
+    """brute_capacity by running sums."""
+    def parts(c):
+        k = at = 0
+        while at < sums[-1]:
+            at = sums[np.searchsorted(sums, at + c, "right") - 1]
+            k += 1
+        return k
+
+    low = max(largest, -(-int(sums[-1]) // n))
+    high = low + largest
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if parts(mid) <= n else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("grains", [shards.GRAINS, 8])
+def test_assign(spark, grains):
     r = random.Random(9)
     rows = [(r.randrange(150), "ü" * r.randrange(30), "s") for _ in range(300)]
     docs = table(spark, rows)
-    got = shards.assign(docs, 7, fetch=fetch)
+    got = shards.assign(docs, 7, grains=grains, finer=3)
     assert set(got.columns) == set(docs.columns)
     size, place = Counter(), {}
     for x in got.collect():
@@ -161,7 +202,7 @@ def test_pipeline_equals_brute_force(spark, quick):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     d, lab = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     model = bytecnn.train(*bytecnn.sample(d, lab))
-    kept = [x for x, p in zip(docs, model.score([t for _, t, _ in docs]), strict=True) if p >= bytecnn.THRESHOLD]
+    kept = [x for x, p in zip(docs, model.score([t for _, t, _ in docs]), strict=True) if p >= model.threshold]
     assert 0 < len(kept) < len(docs)
     groups = brute_groups([(i, t) for i, t, _ in kept])
     kept = [x for x in kept if groups[x[0]] == x[0]]
@@ -190,14 +231,37 @@ def test_stages_keep_columns(spark, quick):
     assert corpus_pipeline.STAGES[-1][1](spark, d, SMALL).columns == [*d.columns, "shard_id"]
 
 
+def plain_scores(m, texts):
+    """The network over every byte of whole texts, chunk by chunk: embed, convolve, pool, combine, without any of its own methods."""
+    out = []
+    for t in texts:
+        raw = (t or "").encode()
+        most, total, n, at = np.zeros(bytecnn.HIDDEN), np.zeros(bytecnn.HIDDEN), 0, 0
+        while raw:
+            part = list(raw[at : at + bytecnn.CHUNK])
+            part += [bytecnn.PAD] * (bytecnn.CHUNK - len(part))
+            x = m.embed[part]
+            windows = np.lib.stride_tricks.sliding_window_view(x, bytecnn.WIDTH, axis=0)[: bytecnn.CHUNK - bytecnn.SPAN + bytecnn.BLOCK]
+            pooled = np.einsum("pew,wef->pf", windows, m.filters, optimize=True).max(0)
+            h = np.maximum(np.maximum(pooled + m.bias, 0) @ m.dense + m.dense_bias, 0)
+            most, total, n = np.maximum(most, h), total + h, n + 1
+            if at + bytecnn.CHUNK - bytecnn.SPAN >= len(raw):
+                break
+            at += bytecnn.STRIDE
+        z = most @ m.top[: bytecnn.HIDDEN] + total / max(n, 1) @ m.top[bytecnn.HIDDEN :] + m.top_bias[0]
+        out.append(1 / (1 + math.exp(-z)) if raw else 0.0)
+    return out
+
+
 def test_queries_cover_whole_tables(spark, quick):
     """Queries without SQL, against brute force over the whole of the smallest tables."""
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in d.collect()]
     assert {r.doc_id: r.group_id for r in queries.op9_minhash_dedup(spark, SMALL).collect()} == brute_groups(docs)
     lab = spark.read.parquet(f"{SMALL}/labels.parquet")
-    p = bytecnn.train(*bytecnn.sample(d, lab)).score([t for _, t in docs])
-    want = {i: x for (i, _), x in zip(docs, p, strict=True) if x >= bytecnn.THRESHOLD}
+    model = bytecnn.train(*bytecnn.sample(d, lab))
+    p = plain_scores(model, [t for _, t in docs])
+    want = {i: x for (i, _), x in zip(docs, p, strict=True) if x >= model.threshold}
     got = {r.doc_id: r.p_accept for r in queries.op2_quality_classifier(spark, SMALL).collect()}
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-4 for i in got)
     pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
