@@ -8,24 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytecnn, crf, licenses, minhash, mixing, ogg, shards, toolcalls, warc, winnow
-from ._store import read
+from ._store import keep, read
 
 
 def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, and every url looked up in the index: all captures with what their records hold."""
     pages = read(spark, sf_dir, "pages")
     index = warc.build(warc.write(pages))
-    found = warc.lookup(pages.select(warc.url_key(F.col("url")).alias("url_key")), index)
-    found = found.select("url_key", "page_id", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("body_md5"))
-    count = found.groupBy("url_key").agg(F.count("*").alias("n_captures"))
-    return found.join(count, "url_key")
+    places = keep(warc.places(pages.select(warc.url_key(F.col("url")).alias("url_key")), index), "places")
+    found = warc.fetch(places, index).select("url_key", "page_id", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("body_md5"))
+    # counted in the index alone: every record is read once
+    return found.join(places.groupBy("url_key").agg(F.count("*").alias("n_captures")), "url_key")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their probability."""
     docs = read(spark, sf_dir, "documents")
     model = bytecnn.train(*bytecnn.sample(docs, read(spark, sf_dir, "labels")))
-    return bytecnn.score(docs, model).where(F.col("p_accept") >= bytecnn.THRESHOLD)
+    return bytecnn.score(docs, model).where(F.col("p_accept") >= model.threshold)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with its user turns as tool calls, linked, ordered, validated and serialised."""
-    return toolcalls.link(*toolcalls.from_turns(read(spark, sf_dir, "conversations")))
+    """Every conversation as a chat log with tool calls, read from its messages, linked, ordered, validated and serialised."""
+    return toolcalls.link(*toolcalls.from_messages(toolcalls.as_messages(read(spark, sf_dir, "conversations"))))
 
 
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an Ogg file of two streams, taken apart again."""
-    return ogg.summary(ogg.text_files(read(spark, sf_dir, "documents")), "doc_id", "media").withColumnRenamed("id", "doc_id")
+    """Every document as an Ogg file of two streams, taken apart again: a row for each stream."""
+    return ogg.streams(ogg.text_files(read(spark, sf_dir, "documents")), "doc_id", "media").withColumnRenamed("id", "doc_id")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

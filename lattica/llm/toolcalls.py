@@ -12,11 +12,14 @@ Calls on a cycle of dependencies come last, by position, with status `cycle`;
 dependencies on unknown calls are ignored. The status of a call is, in this
 order, `cycle`, `unknown_tool`, `bad_json`, `invalid: <path> <rule>` or `ok`; a
 call without result has a null one. Null names are unknown tools, null arguments
-are bad JSON. Rows without conversation or identifier are left out. Other columns
+are bad JSON, and so are those nested more than `DEPTH` deep; arguments that are bad
+JSON are kept as the text they are. A lone surrogate is written as its escape. Rules
+of a schema that `problem` does not know are an error before anything is read. Rows without conversation or identifier are left out. Other columns
 are never read; an empty table gives an empty result.
 
 Scale. One shuffle by conversation serves the join and the grouping; a
-conversation is handled by one task.
+conversation is handled by one task. System and other turns that are neither call
+nor result stand nowhere in the output; a conversation of such turns has no row.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +46,8 @@ SCHEMAS = {
         "additionalProperties": False,
     }
 }
+#: Nesting of arguments; deeper ones are bad JSON.
+DEPTH = 64
 _LINKED = "conv_id long, n_calls int, n_linked int, n_invalid int, n_orphans int, canonical string"
 
 
@@ -75,7 +80,20 @@ def canonical(x) -> str:
         return "[" + ",".join(map(canonical, x)) + "]"
     if isinstance(x, float):
         return _number(x) if math.isfinite(x) else "null"
-    return json.dumps(x, ensure_ascii=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(x, ensure_ascii=False))
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def too_deep(x, most: int = DEPTH) -> bool:
+    """Whether a value is nested more than `most` deep; level by level, without recursion."""
+    level = [x]
+    for _ in range(most + 1):
+        level = [z for y in level if isinstance(y, (dict, list)) for z in (y.values() if isinstance(y, dict) else y)]
+        if not level:
+            return False
+    return True
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -89,8 +107,47 @@ def _is(x, kind: str) -> bool:
     return isinstance(x, _TYPES.get(kind, object))
 
 
-def problem(x, schema: dict, at: str = "$") -> str | None:
+_KNOWN = frozenset("type enum const minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minItems maxItems uniqueItems items minProperties maxProperties properties required additionalProperties allOf anyOf oneOf not $ref $defs definitions".split())
+_NOTES = frozenset("$schema $id $comment title description default examples format deprecated readOnly writeOnly".split())
+
+
+def check_schema(schema, at: str = "#") -> None:
+    """ValueError for a rule that `problem` would not look at."""
+    if isinstance(schema, bool):
+        return
+    for k in sorted(schema):
+        if k not in _KNOWN and k not in _NOTES:
+            raise ValueError(f"{at}/{k} is no known rule")
+    for k in ("properties", "$defs", "definitions"):
+        for n, s in schema.get(k, {}).items():
+            check_schema(s, f"{at}/{k}/{n}")
+    for k in ("allOf", "anyOf", "oneOf"):
+        for i, s in enumerate(schema.get(k, [])):
+            check_schema(s, f"{at}/{k}/{i}")
+    for k in ("items", "not", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{at}/{k}")
+
+
+def _pointed(root: dict, ref: str):
+    """What a pointer into the schema itself leads to."""
+    if not ref.startswith("#"):
+        raise ValueError(f"{ref} leads outside the schema")
+    out = root
+    for part in ref[1:].split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        out = out[int(part)] if isinstance(out, list) else out[part]
+    return out
+
+
+def problem(x, schema, at: str = "$", root: dict | None = None) -> str | None:
     """The first rule of a JSON schema that x breaks, depth first, as `path rule`."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at} false"
+    root = schema if root is None else root
+    inner = lambda y, s, where=at: problem(y, s, where, root)
+    if "$ref" in schema and (found := inner(x, _pointed(root, schema["$ref"]))):
+        return found
     kinds = schema.get("type")
     if kinds is not None and not any(_is(x, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at} type"
@@ -98,33 +155,41 @@ def problem(x, schema: dict, at: str = "$") -> str | None:
         return f"{at} enum"
     if "const" in schema and canonical(x) != canonical(schema["const"]):
         return f"{at} const"
+    for s in schema.get("allOf", []):
+        if found := inner(x, s):
+            return found
+    if "anyOf" in schema and all(inner(x, s) for s in schema["anyOf"]):
+        return f"{at} anyOf"
+    if "oneOf" in schema and sum(not inner(x, s) for s in schema["oneOf"]) != 1:
+        return f"{at} oneOf"
+    if "not" in schema and not inner(x, schema["not"]):
+        return f"{at} not"
+    rules: list[tuple] = []
     if isinstance(x, str):
-        for rule, bad in (("minLength", lambda n: len(x) < n), ("maxLength", lambda n: len(x) > n), ("pattern", lambda p: not re.search(p, x))):
-            if rule in schema and bad(schema[rule]):
-                return f"{at} {rule}"
-    if _is(x, "number"):
-        for rule, bad in (("minimum", lambda n: x < n), ("maximum", lambda n: x > n), ("exclusiveMinimum", lambda n: x <= n), ("exclusiveMaximum", lambda n: x >= n)):
-            if rule in schema and bad(schema[rule]):
-                return f"{at} {rule}"
-    if isinstance(x, list):
-        for rule, bad in (("minItems", lambda n: len(x) < n), ("maxItems", lambda n: len(x) > n)):
-            if rule in schema and bad(schema[rule]):
-                return f"{at} {rule}"
+        rules = [("minLength", lambda n: len(x) < n), ("maxLength", lambda n: len(x) > n), ("pattern", lambda p: not re.search(p, x))]
+    elif _is(x, "number"):
+        rules = [("minimum", lambda n: x < n), ("maximum", lambda n: x > n), ("exclusiveMinimum", lambda n: x <= n), ("exclusiveMaximum", lambda n: x >= n), ("multipleOf", lambda n: not float(x / n).is_integer())]
+    elif isinstance(x, list):
+        rules = [("minItems", lambda n: len(x) < n), ("maxItems", lambda n: len(x) > n), ("uniqueItems", lambda on: on and len({canonical(y) for y in x}) < len(x))]
+    elif isinstance(x, dict):
+        rules = [("minProperties", lambda n: len(x) < n), ("maxProperties", lambda n: len(x) > n)]
+    for rule, bad in rules:
+        if rule in schema and bad(schema[rule]):
+            return f"{at} {rule}"
+    if isinstance(x, list) and "items" in schema:
         for i, y in enumerate(x):
-            if "items" in schema and (found := problem(y, schema["items"], f"{at}[{i}]")):
+            if found := inner(y, schema["items"], f"{at}[{i}]"):
                 return found
     if isinstance(x, dict):
         known = schema.get("properties", {})
         for k in schema.get("required", []):
             if k not in x:
                 return f"{at}.{k} required"
+        others = schema.get("additionalProperties", True)
         for k in sorted(x):
-            if k in known:
-                if found := problem(x[k], known[k], f"{at}.{k}"):
-                    return found
-            elif schema.get("additionalProperties") is False:
+            if k not in known and others is False:
                 return f"{at}.{k} additionalProperties"
-            elif isinstance(schema.get("additionalProperties"), dict) and (found := problem(x[k], schema["additionalProperties"], f"{at}.{k}")):
+            if found := inner(x[k], known.get(k, others), f"{at}.{k}"):
                 return found
     return None
 
@@ -168,11 +233,15 @@ def _format(schemas: dict):
                     c = calls[i]
                     args, status = c["args"], "ok"
                     try:
-                        args = json.loads(args or "", parse_constant=_unordered)
-                        broken = problem(args, schemas[c["name"]]) if c["name"] in schemas else None
-                        status = f"invalid: {broken}" if broken else "ok"
+                        read = json.loads(args or "", parse_constant=_unordered)
+                        if too_deep(read):
+                            raise ValueError("depth")
                     except (ValueError, RecursionError):
                         status = "bad_json"
+                    else:
+                        args = read
+                        broken = problem(args, schemas[c["name"]]) if c["name"] in schemas else None
+                        status = f"invalid: {broken}" if broken else "ok"
                     if c["name"] not in schemas:
                         status = "unknown_tool"
                     if n >= len(at) - n_cycle:
@@ -189,11 +258,13 @@ def _format(schemas: dict):
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """A row for each conversation that has a call or a result. calls: conv_id, seq, call_id, name, arguments, after; results: conv_id, seq, call_id, content."""
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     c = calls.select(*[F.col(f"`{x}`").alias(f"_{x}") for x in ("conv_id", "seq", "call_id", "name", "arguments", "after")]).where("_conv_id is not null and _call_id is not null")
     c = c.groupBy("_conv_id", "_call_id").agg(F.min(F.struct(F.col("_seq").alias("seq"), F.col("_name").alias("name"), F.col("_arguments").alias("args"), F.col("_after").alias("after"))).alias("_c"))
     r = results.select(*[F.col(f"`{x}`").alias(f"_{x}") for x in ("conv_id", "seq", "call_id", "content")]).where("_conv_id is not null and _call_id is not null")
     r = r.groupBy(F.col("_conv_id").alias("_conv2"), F.col("_call_id").alias("_call2")).agg(F.min(F.struct(F.col("_seq").alias("seq"), F.col("_content").alias("content"))).alias("_r"))
-    both = c.hint("shuffle_hash").join(r, (F.col("_conv_id") == F.col("_conv2")) & (F.col("_call_id") == F.col("_call2")), "full_outer")
+    both = c.join(r, (F.col("_conv_id") == F.col("_conv2")) & (F.col("_call_id") == F.col("_call2")), "full_outer")
     call = F.struct(F.col("_c.seq").alias("seq"), F.col("_call_id").alias("id"), F.col("_c.name").alias("name"), F.col("_c.args").alias("args"), F.col("_c.after").alias("after"), F.col("_r.content").alias("result"), F.col("_r").isNotNull().alias("linked"))
     grouped = both.groupBy(F.coalesce("_conv_id", "_conv2").cast("long").alias("_conv")).agg(F.collect_list(F.when(F.col("_c").isNotNull(), call)).alias("_calls"), F.count_if(F.col("_c").isNull()).cast("int").alias("_orphans"))
     return _store.arrow(grouped, _format(schemas), _LINKED)
@@ -211,19 +282,42 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def _turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, _role, _text); of rows that repeat a turn the smallest role and text hold."""
+    turns = _store.pick(conversations, conv_id="conv_id", turn="turn", _role="role", _text="text").where("conv_id is not null and turn is not null")
+    return turns.groupBy("conv_id", "turn").agg(F.min(F.struct("_role", "_text")).alias("_t")).select("conv_id", "turn", "_t.*")
+
+
+def _name(turn: Column) -> Column:
+    return F.concat(F.lit("c"), turn.cast("string"))
+
+
+def as_messages(conversations: DataFrame) -> DataFrame:
+    """Plain conversations as a chat log with tool calls (conv_id, turn, role, text), as `from_messages` reads it: a user's turn is a message that calls `reply`, an assistant's turn the tool's answer to the turn before it; others have neither.
+
+    The calls of every fourth conversation each follow the one before, of the next the one after (so that the last comes first), of the next the one before in a ring (a cycle), of the last the one two before (two branches)."""
+    turns = _turns(conversations)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    way = F.pmod(F.col("conv_id"), F.lit(4))
+    last = F.last("turn").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    other = F.when(way == 1, F.lead("turn").over(w)).when(way == 2, F.coalesce(F.lag("turn").over(w), last)).when(way == 3, F.lag("turn", 2).over(w)).otherwise(F.lag("turn").over(w))
+    call = F.struct(_name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("_text").alias("prompt"), "turn")).alias("arguments"), F.when(other.isNotNull(), F.array(_name(other))).alias("after"))
+    calls = turns.where("_role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answer = F.struct(_name(F.col("turn") - 1).alias("tool_call_id"), F.col("_text").alias("content"))
+    return calls.unionByName(turns.where("_role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(answer).alias("text")))
+
+
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls of the tool `reply`: every user turn calls it, after the user turn before it; an assistant turn is the result of the turn before it. Of rows that repeat a turn the smallest role and text hold."""
-    turns = _store.pick(conversations, conv_id="conv_id", turn="turn", _role="role", _text="text").where("conv_id is not null and turn is not null")
-    turns = turns.groupBy("conv_id", "turn").agg(F.min(F.struct("_role", "_text")).alias("_t")).select("conv_id", "turn", "_t.*")
-    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    turns = _turns(conversations)
     user = turns.where("_role = 'user'")
     before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    calls = user.select("conv_id", F.col("turn").alias("seq"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("_text").alias("prompt"), "turn")).alias("arguments"), F.when(before.isNotNull(), F.array(name(before))).alias("after"))
-    results = turns.where("_role = 'assistant'").select("conv_id", F.col("turn").alias("seq"), name(F.col("turn") - 1).alias("call_id"), F.col("_text").alias("content"))
+    calls = user.select("conv_id", F.col("turn").alias("seq"), _name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("_text").alias("prompt"), "turn")).alias("arguments"), F.when(before.isNotNull(), F.array(_name(before))).alias("after"))
+    results = turns.where("_role = 'assistant'").select("conv_id", F.col("turn").alias("seq"), _name(F.col("turn") - 1).alias("call_id"), F.col("_text").alias("content"))
     return calls, results
 
 
-#: DuckDB: a chain of dependencies is the order of the turns.
+#: DuckDB: what follows the call before or two before is in the order of the turns, what follows the call after in reverse, and a ring is a cycle.
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, turn, min({'r': role, 't': text}) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
@@ -231,10 +325,10 @@ WITH t AS (
 a AS (SELECT conv_id, turn - 1 AS turn, x.t AS text FROM t WHERE x.r = 'assistant'),
 j AS (
   SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn, u.text, a.turn AS answered, a.text AS result,
-    CASE WHEN u.text IS NULL THEN 'invalid: $.prompt required' WHEN length(u.text) < 1 THEN 'invalid: $.prompt minLength' WHEN length(u.text) > 400 THEN 'invalid: $.prompt maxLength' WHEN u.turn < 0 THEN 'invalid: $.turn minimum' ELSE 'ok' END AS status
+    CASE WHEN coalesce(u.conv_id, 0) % 4 = 2 THEN 'cycle' WHEN u.text IS NULL THEN 'invalid: $.prompt required' WHEN length(u.text) < 1 THEN 'invalid: $.prompt minLength' WHEN length(u.text) > 400 THEN 'invalid: $.prompt maxLength' WHEN u.turn < 0 THEN 'invalid: $.turn minimum' ELSE 'ok' END AS status
   FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn
 )
 SELECT conv_id, count(turn)::INTEGER AS n_calls, count(*) FILTER (turn IS NOT NULL AND answered IS NOT NULL)::INTEGER AS n_linked, count(*) FILTER (turn IS NOT NULL AND status <> 'ok')::INTEGER AS n_invalid, count(*) FILTER (turn IS NULL)::INTEGER AS n_orphans,
-  '[' || coalesce(string_agg('{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn || '},"id":"c' || turn || '","name":"reply","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' || status || '"}', ',' ORDER BY turn) FILTER (turn IS NOT NULL), '') || ']' AS canonical
+  '[' || coalesce(string_agg('{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn || '},"id":"c' || turn || '","name":"reply","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' || status || '"}', ',' ORDER BY CASE WHEN conv_id % 4 = 1 THEN -turn ELSE turn END) FILTER (turn IS NOT NULL), '') || ']' AS canonical
 FROM j GROUP BY conv_id
 """

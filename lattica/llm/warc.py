@@ -18,9 +18,11 @@ columns are never read. An empty table gives an empty index and empty results.
 
 Scale. Building is one range shuffle of short rows; html is compressed where it
 is read and never shuffled. All captures of a key are in one file, and a key may
-fill any number of blocks. Looking up shuffles the keys to the files that hold
-them, one task a file, so nothing that grows with the data is broadcast: tasks
-know only the first key of each file. Files of failed attempts are never
+fill any number of blocks. Looking up shuffles the keys to the files that hold them,
+so nothing that grows with the data is broadcast: tasks know only the first key of
+each file. What is found are places of records, short rows; these are dealt out by
+file and stretch of file, in as many tasks as the bytes of the records call for, and
+there the records are read, so that a hot key's are not one task's. Files of failed attempts are never
 referred to, since names and offsets come from the written table.
 """
 
@@ -44,6 +46,8 @@ from . import _store
 BLOCK = 256
 #: Records go to a new file once this many bytes are reached.
 FILE_BYTES = 256 << 20
+#: Neighbouring records of so many bytes are read by one task, and a task reads about as many as TASK_BYTES.
+STRETCH, TASK_BYTES = 4 << 20, 64 << 20
 _CAPTURE = "_key binary, _id long, _file string, _offset long, _length long"
 _PARTS = "_part int, _first binary, _index string"
 
@@ -159,6 +163,8 @@ class Index(NamedTuple):
 
     first: list[bytes]
     files: list[str]
+    #: Bytes of the records.
+    n_bytes: int = 0
 
 
 def build(captures: DataFrame, block: int = BLOCK) -> Index:
@@ -167,7 +173,7 @@ def build(captures: DataFrame, block: int = BLOCK) -> Index:
     ordered = captures.repartitionByRange("_key").sortWithinPartitions("_key", F.col("_id").asc_nulls_first(), "_file", "_offset")
     parts = _store.keep(_store.arrow(ordered, _blocks(_store.new_path(spark, "index"), block), "_first binary, _index string"), "parts")
     rows = sorted((bytes(r[0]), r[1]) for r in parts.collect())  # one row an index file
-    return Index([r[0] for r in rows], [r[1] for r in rows])
+    return Index([r[0] for r in rows], [r[1] for r in rows], captures.agg(F.sum("_length")).first()[0] or 0)
 
 
 class Reader:
@@ -210,46 +216,71 @@ def _place(first: list[bytes]):
     return run
 
 
-def _find(files: list[str], fetch: bool):
+def _find(files: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, reader, source = -1, None, io.BytesIO()
-        name = None
+        part, reader, rows = -1, None, []
         for batch in batches:
-            rows = []
             for key, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != part:
                     part, reader = p, Reader(files[p])
                 for _, page_id, file, offset, length in reader.find(key):
-                    body = None
-                    if fetch:
-                        if file != name:
-                            fs, path = _open(file)
-                            name, source = file, fs.open_input_file(path)
-                        body = payload(source.read_at(length, offset))
-                    rows.append((key, page_id, file, offset, length, body))
-                if len(rows) >= 512:
-                    yield _found(rows)
-                    rows = []
-            yield _found(rows)
+                    rows.append((key, page_id, file, offset, length))
+                    if len(rows) == 4096:
+                        yield _rows(rows, 5)
+                        rows = []
+        yield _rows(rows, 5)
 
     return run
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["_key", "_id", "_file", "_offset", "_length", "_body"])
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of places in order of file and offset; a batch holds no more than STRETCH bytes and a record."""
+    name, source = None, io.BytesIO()
+    for batch in batches:
+        rows, size = [], 0
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[2] != name:
+                fs, path = _open(row[2])
+                name, source = row[2], fs.open_input_file(path)
+            rows.append((*row, payload(source.read_at(row[4], row[3]))))
+            size += len(rows[-1][5])
+            if size >= STRETCH:
+                yield _rows(rows, 6)
+                rows, size = [], 0
+        yield _rows(rows, 6)
+
 
+def _rows(rows: list[tuple], n: int) -> pa.RecordBatch:
+    kinds, names = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), ["_key", "_id", "_file", "_offset", "_length", "_body"]
+    cols = list(zip(*rows, strict=True)) or [[]] * n
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds[:n], strict=True)], names=names[:n])
 
-def lookup(keys: DataFrame, index: Index, fetch: bool = True) -> DataFrame:
-    """(url_key, page_id, file, offset, length, body): all captures of each distinct key of the column url_key; body is the record's payload if fetch."""
+
+def places(keys: DataFrame, index: Index) -> DataFrame:
+    """(url_key, page_id, file, offset, length): all captures of each distinct key of the column url_key."""
     spark: SparkSession = keys.sparkSession
     if not index.files:
-        return spark.createDataFrame([], "url_key string, page_id long, file string, offset long, length long, body binary")
+        return spark.createDataFrame([], "url_key string, page_id long, file string, offset long, length long")
     wanted = keys.select(F.col("`url_key`").cast("binary").alias("_key")).where("_key is not null").distinct()
     placed = _store.arrow(wanted, _place(index.first), "_key binary, _part int")
     grouped = placed.repartition(len(index.files), "_part").sortWithinPartitions("_part", "_key")
-    found = _store.arrow(grouped, _find(index.files, fetch), _CAPTURE + ", _body binary")
-    return found.select(F.col("_key").cast("string").alias("url_key"), F.col("_id").alias("page_id"), F.col("_file").alias("file"), F.col("_offset").alias("offset"), F.col("_length").alias("length"), F.col("_body").alias("body"))
+    found = _store.arrow(grouped, _find(index.files), _CAPTURE)
+    return found.select(F.col("_key").cast("string").alias("url_key"), F.col("_id").alias("page_id"), F.col("_file").alias("file"), F.col("_offset").alias("offset"), F.col("_length").alias("length"))
+
+
+def fetch(found: DataFrame, index: Index) -> DataFrame:
+    """The places of `places` with body, the record's payload."""
+    parallel = 2 * found.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-index.n_bytes // TASK_BYTES), min(parallel, -(-index.n_bytes // STRETCH)))
+    short = found.select(F.col("url_key").cast("binary").alias("_key"), F.col("page_id").alias("_id"), F.col("file").alias("_file"), F.col("offset").alias("_offset"), F.col("length").alias("_length"))
+    dealt = short.repartition(n, "_file", F.floor(F.col("_offset") / STRETCH)).sortWithinPartitions("_file", "_offset")
+    read = _store.arrow(dealt, _fetch, _CAPTURE + ", _body binary")
+    return read.select(F.col("_key").cast("string").alias("url_key"), F.col("_id").alias("page_id"), F.col("_file").alias("file"), F.col("_offset").alias("offset"), F.col("_length").alias("length"), F.col("_body").alias("body"))
+
+
+def lookup(keys: DataFrame, index: Index) -> DataFrame:
+    """(url_key, page_id, file, offset, length, body): all captures of each distinct key of the column url_key with their records' payloads."""
+    return fetch(places(keys, index), index)
 
 
 #: DuckDB: what looking up every url must bring back.

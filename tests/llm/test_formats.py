@@ -48,6 +48,7 @@ def test_index_round_trip(spark):
     for (i, u, h, _), k in zip(rows, [x.k for x in pages.select(warc.url_key(F.col("url")).alias("k")).collect()], strict=True):
         if u is not None:
             want.setdefault(k, []).append((i, h or ""))
+    assert index.n_bytes > 0 and warc.places(keys, index).count() == sum(map(len, got.values()))
     order = lambda x: sorted(x, key=repr)
     assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in want.items()}
 
@@ -98,6 +99,24 @@ def test_schema_rules():
         assert toolcalls.problem(x, s) == want
 
 
+def test_more_schema_rules():
+    for x, s, want in [([1, 1.0], {"uniqueItems": True}, "$ uniqueItems"), (3, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, "$ anyOf"), (5, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, None), (5, {"oneOf": [{"minimum": 1}, {"minimum": 4}]}, "$ oneOf"), (5, {"not": {"type": "integer"}}, "$ not"), (5, {"allOf": [{"minimum": 1}, {"maximum": 4}]}, "$ maximum"), ({"n": {"n": 3}}, {"$ref": "#/$defs/t", "$defs": {"t": {"type": "object", "properties": {"n": {"$ref": "#/$defs/t"}}}}}, "$.n.n type"), (7, {"multipleOf": 2}, "$ multipleOf"), ({}, {"minProperties": 1}, "$ minProperties"), (1, False, "$ false")]:
+        toolcalls.check_schema(s)
+        assert toolcalls.problem(x, s) == want
+    with pytest.raises(ValueError, match="contains"):
+        toolcalls.check_schema({"properties": {"a": {"contains": {}}}})
+
+
+def test_surrogates_and_depth(spark):
+    """Lone surrogates are written as escapes, arguments of any depth break nothing."""
+    deep = ['{"prompt":' * 600 + "1" + "}" * 600, "[" * 100_000 + "]" * 100_000, "[" * 1200 + "]" * 1200]
+    rows = [(i, 1, "a", "reply", x, None) for i, x in enumerate([r'{"prompt":"\ud800 \ud83d\ude00","turn":1}', *deep, '{"turn":1,"prompt":' + "[" * 60 + "]" * 60 + "}"])]
+    calls = spark.createDataFrame(rows, "conv_id long, seq int, call_id string, name string, arguments string, after array<string>")
+    got = {r.conv_id: json.loads(r.canonical)[0] for r in toolcalls.link(calls, spark.createDataFrame([], "conv_id long, seq int, call_id string, content string")).collect()}
+    assert got[0]["status"] == "ok" and got[0]["arguments"]["prompt"] == "\ud800 😀"
+    assert all(got[i]["status"] == "bad_json" and got[i]["arguments"] == deep[i - 1] for i in (1, 2, 3)) and got[4]["status"] == "invalid: $.prompt type"
+
+
 @given(st.integers(1, 12).flatmap(lambda n: st.lists(st.lists(st.integers(0, n), max_size=3), min_size=n, max_size=n)))
 @settings(deadline=None)
 def test_topological_order(after):
@@ -185,6 +204,16 @@ def test_ogg_damage():
     assert ogg.parse(b"") == ogg.parse(None) == ([], 0) and ogg.parse(b"OggS") == ([], 1)
 
 
+def test_ogg_chained():
+    """A second stream of the same serial number begins anew."""
+    head = b"OpusHead\x01\x01" + struct.pack("<IHhB", 0, 48000, 0, 0)
+    one = b"".join(ogg.pages_of(1, [(head, 0), (b"OpusTags", 0), (b"a", 48000)], 2))
+    two = b"".join(ogg.pages_of(1, [(head, 0), (b"OpusTags", 0), (b"b", 24000), (b"c", 96000)], 2))
+    got, bad = ogg.parse(one + two)
+    assert bad == 0 and [[p for p, _, _ in s.packets[s.headers :]] for s in got] == [[b"a"], [b"b", b"c"]]
+    assert [s.packets[-1][2] for s in got] == [1.0, 2.0] and all(not s.lost for s in got)
+
+
 def test_ogg_times():
     opus = b"OpusHead\x01\x01" + struct.pack("<HIhB", 312, 48000, 0, 0)
     data = b"".join(ogg.pages_of(1, [(opus, 0), (b"OpusTags", 0), (b"a", -1), (b"b", 312 + 4800), (b"c", 312 + 9600)], 2))
@@ -210,9 +239,11 @@ def test_ogg_tables(spark):
     assert all(r.n_bad == r.n_lost == 0 and r.n_streams == 2 for r in got)
     p = ogg.packets(ogg.text_files(docs), "doc_id", "media").where("id = 3 and serial = 1 and packet > 1").orderBy("packet").collect()
     assert b"".join(bytes(r.data) for r in p).decode() == "ü" * 40_000 and p[-1].seconds == pytest.approx(0.02 * len(p))
+    each = ogg.streams(ogg.text_files(docs), "doc_id", "media").where("id = 3").orderBy("stream").collect()
+    assert [(r.serial, r.codec, r.n_bytes) for r in each] == [(1, "opus", 80_000), (2, "vorbis", 3)]
     raw = spark.createDataFrame([(1, None, 0), (2, bytearray(b"no ogg"), 0)], "id long, data binary, _data int")
     assert [r.n_streams for r in ogg.summary(raw, "id", "data").collect()] == [0, 0] and ogg.packets(raw, "id", "data").count() == 0
-    assert ogg.summary(raw.limit(0), "id", "data").count() == 0
+    assert ogg.summary(raw.limit(0), "id", "data").count() == 0 and ogg.streams(raw, "id", "data").count() == 0
 
 
 # Licenses
