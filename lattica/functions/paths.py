@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,20 +73,36 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def _exclusions(patterns: tuple[str, ...], hidden: bool) -> tuple[list[str], list[str]]:
+    """Regular expressions found in an excluded path, and in the path or the name."""
+    named = r"(?:^|/)\.(?!\.?(?:/|$))" if hidden else r"(?:^|/)\.(?:git|DS_Store|venv|env|idea|vscode)(?:/|$)"
+    return [rf"(?:^|/)(?:{'|'.join(SKIPPED_DIRS)})(?:/|$)", rf"\.(?:{'|'.join(SKIPPED_SUFFIXES)})$", named], [glob_regex(p) for p in patterns]
+
+
 def is_excluded(path: Column, patterns: tuple[str, ...] = (), hidden: bool = True) -> Column:
     """Hidden and tool-made parts of a tree, compiled files, and any of the globs on name or path."""
-    dirs = "|".join(SKIPPED_DIRS)
-    out = path.rlike(rf"(?:^|/)(?:{dirs})(?:/|$)") | path.rlike(rf"\.(?:{'|'.join(SKIPPED_SUFFIXES)})$")
-    if hidden:
-        out = out | path.rlike(r"(?:^|/)\.(?!\.?(?:/|$))")
-    else:
-        out = out | path.rlike(r"(?:^|/)\.(?:git|DS_Store|venv|env|idea|vscode)(?:/|$)")
-    for p in patterns:
-        r = glob_regex(p)
-        out = out | path.rlike(r) | file_name(path).rlike(r)
+    fixed, globs = _exclusions(patterns, hidden)
+    # one pattern: a nested condition for each of thousands of globs would not be planned
+    out = path.rlike("|".join(fixed))
+    if globs:
+        either = "|".join(f"(?:{g})" for g in globs)
+        out = out | path.rlike(either) | file_name(path).rlike(either)
     return out
 
 
+def skipper(patterns: tuple[str, ...] = (), hidden: bool = True) -> Callable[[str, bool], bool]:
+    """is_excluded for one path, file or directory, in Python; globs are for files only."""
+    fixed, globs = _exclusions(patterns, hidden)
+    whole, either = re.compile("|".join(fixed)), re.compile("|".join(f"(?:{g})" for g in globs)) if globs else None
+
+    def skip(path: str, is_dir: bool) -> bool:
+        if whole.search(f"{path}/x" if is_dir else path):
+            return True
+        return bool(either and not is_dir and (either.search(path) or either.search(path.rpartition("/")[2])))
+
+    return skip
+
+
 def skips_dir(name: Column, hidden: bool = True) -> Column:
     """A directory that is not entered."""
     return is_excluded(F.concat(name, F.lit("/x")), (), hidden)

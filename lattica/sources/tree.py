@@ -9,83 +9,37 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..plans import tables
 from ..session import ship
-from . import manifests
-
-IGNORE_FILES = (".gitignore", ".latticaignore")
-
-
-def ignore_rules(text: str, base: str = "") -> list[tuple[str, bool]]:
-    """(regular expression on the relative path, keep) of an ignore file in directory base, in order; the last that matches decides."""
-    out = []
-    for line in text.splitlines():
-        line = line.rstrip()
-        if not line or line.startswith("#"):
-            continue
-        keep = line.startswith("!")
-        p = line[1:] if keep else line
-        p = p.removeprefix("\\")
-        only_dir, p = p.endswith("/"), p.rstrip("/")
-        anchored, p = "/" in p, p.lstrip("/")
-        r = ""
-        i = 0
-        while i < len(p):
-            if p.startswith("**/", i):
-                r, i = r + "(?:.*/)?", i + 3
-            elif p.startswith("**", i):
-                r, i = r + ".*", i + 2
-            elif p[i] == "*":
-                r, i = r + "[^/]*", i + 1
-            elif p[i] == "?":
-                r, i = r + "[^/]", i + 1
-            elif p[i] == "[" and "]" in p[i + 1 :]:
-                end = p.index("]", i + 1)
-                r, i = r + "[" + p[i + 1 : end].replace("!", "^", 1) + "]", end + 1
-            else:
-                r, i = r + ("" if p[i].isalnum() or p[i] in "_/-" else "\\") + p[i], i + 1
-        head = "".join(("" if c.isalnum() or c in "_/-" else "\\") + c for c in f"{base}/" if base)
-        out.append((f"^{head}{'' if anchored else '(?:.*/)?'}{r}{'/.*' if only_dir else '(?:/.*)?'}$", keep))
-    return out
-
-
-def read_ignores(root: str) -> list[tuple[str, bool]]:
-    """Rules of all ignore files of a tree on this machine's disk, outer directories first, and of its git exclude file."""
-    out = []
-    exclude = Path(root, ".git/info/exclude")
-    if exclude.is_file():
-        out += ignore_rules(exclude.read_text(errors="replace"))
-    for at, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith("."))
-        for name in IGNORE_FILES:
-            if name in names:
-                base = os.path.relpath(at, root)
-                out += ignore_rules(Path(at, name).read_text(errors="replace"), "" if base == "." else base)
-    return out
-
-
-def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """Whether the last rule that matches a path says so."""
-    out = F.lit(False)
-    for r, keep in rules:
-        out = F.when(path.rlike(r), not keep).otherwise(out)
-    return out
-
-
-def scan(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, exclude: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
-    """(path, content, n_bytes): every file below root that is not excluded, by path relative to it. Symbolic links that leave the tree are Hadoop's to resolve; rules default to the tree's own ignore files where it is on disk."""
-    local = root.removeprefix("file://")
-    if rules is None:
-        rules = read_ignores(local) if os.path.isdir(local) else []
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = raw.select("*", F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/").alias("_at"))
-    top = "/" + root.split(":", 1)[-1].strip("/") if ":" in root else os.path.abspath(root)
-    own = base.select(F.substring(F.col("_at"), len(top.rstrip("/")) + 2, 1 << 30).alias("path"), "content", F.col("length").alias("n_bytes"))
-    return own.where(~paths.is_excluded(F.col("path"), exclude, hidden) & ~ignored(F.col("path"), rules))
+from . import manifests, walk
+
+#: Directories that are open when listing is dealt out to tasks.
+WIDE = 64
+
+
+def scan(spark: SparkSession, root: str, rules: str | None = None, exclude: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
+    """(path, content, n_bytes): every file below root that is not excluded, by path relative to it. Ignore files of the tree hold, on any file system; `rules` is the text of one more, which they overrule. Symbolic links are left out."""
+    skip = paths.skipper(exclude, hidden)
+    disk, known = walk.Disk(root), walk.above(root) + ([("", rules)] if rules else [])
+    chains: list[list[tuple[str, str]]] = []
+    rows: list[tuple[str, int, int]] = []
+    for found in walk.walk(disk, "", known, skip, WIDE):
+        if isinstance(found, walk.Found):
+            rows.append((found.path, -1, found.size))
+        else:
+            if found[1] not in chains[-1:]:
+                chains.append(found[1])
+            rows.append((found[0], len(chains) - 1, 0))
+    ship(spark)
+    n = 4 * spark.sparkContext.defaultParallelism
+    first = spark.createDataFrame(rows, "path string, rules int, size long").repartition(min(n, max(1, len(rows))), "path")
+    listed = first.mapInArrow(walk.lister(root, chains, skip), "path string, size long")
+    # a fixed number of tasks: to AQE these rows are nothing, but their files are not
+    return listed.repartition(n, "path").mapInArrow(walk.reader(root), "path string, content binary, n_bytes long")
 
 
 def sources(files: DataFrame) -> DataFrame:
@@ -145,7 +99,7 @@ def git_metadata(path: str) -> dict:
             return None
         return r.stdout.strip() or None if r.returncode == 0 else None
 
-    return {"remote": ask("remote", "get-url", "origin"), "commit": ask("log", "-1", "--format=%H"), "branch": ask("symbolic-ref", "--short", "HEAD")}
+    return {"remote": ask("remote", "get-url", "origin"), "commit": ask("log", "-1", "--format=%H"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD")}
 
 
 def components(files: DataFrame, repo: str) -> DataFrame:

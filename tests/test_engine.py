@@ -42,6 +42,36 @@ def test_scan_skips_what_it_should(spark, root):
     assert found == {"app/main.py", "app/util.py", "web/view.ts", "web/package.json", "lib/package.json", "package.json", "notes.txt"}
 
 
+def test_scan_finds_every_name(spark, tmp_path, monkeypatch):
+    """Names that Spark's own listing hides, ignore files at several levels, links, thousands of rules, and a tree wide enough to be dealt out."""
+    want = {"pkg/__init__.py", "pkg/_private.py", "pkg/mod.py", "pkg/__tests__/a.js", "_internal/m.py", "a b/ü.py", "low/kept.tmp", "low/in/x.py", "_x/y=1/z.py"}
+    gone = {"pkg/gen.tmp", "low/drop/x.py", "low/in/never.py", "build/x.py", ".hidden/x.py", "out/deep/x.py", "gone/f4999", "x.pyc"}
+    top = tmp_path / "t"
+    for p in want | gone:
+        (top / p).parent.mkdir(parents=True, exist_ok=True)
+        (top / p).write_text(p)
+    (top / ".gitignore").write_text("*.tmp\nout/\n" + "".join(f"/gone/f{i}\n*.g{i}\n" for i in range(5000)))
+    (top / "low/.gitignore").write_text("!kept.tmp\n/drop\n")
+    (top / "low/in/.latticaignore").write_text("never.py\n")
+    (top / "link.py").symlink_to(top / "pkg/mod.py")
+    (top / "linked").symlink_to(top / "pkg")
+    for wide in (64, 2):
+        monkeypatch.setattr(tree, "WIDE", wide)
+        got = {r.path: bytes(r.content).decode() for r in tree.scan(spark, str(top)).collect()}
+        assert got == {p: p for p in want}
+    assert {r.path for r in tree.scan(spark, f"file://{top}").select("path").collect()} == want
+    assert {r.path for r in tree.scan(spark, str(top), exclude=("*.js", "low/*"), hidden=False).select("path").collect()} - {".gitignore"} == (want | {".hidden/x.py"}) - {"pkg/__tests__/a.js", "low/kept.tmp", "low/in/x.py"}
+    assert {r.path for r in tree.scan(spark, str(top), rules="_*\n").select("path").collect()} == {"pkg/mod.py", "a b/ü.py", "low/kept.tmp", "low/in/x.py"}
+    # the user's own rules, and those of a repository above the tree
+    (tmp_path / "config/git").mkdir(parents=True)
+    (tmp_path / "config/git/ignore").write_text("mod.py\n")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("/t/_internal\n")
+    assert {r.path for r in tree.scan(spark, str(top)).select("path").collect()} == want - {"pkg/mod.py", "_internal/m.py"}
+    assert tree.scan(spark, str(tmp_path / "config")).count() == 1 and tree.scan(spark, str(tmp_path / "nowhere")).count() == 0
+
+
 def test_build_query_update(spark, root, tmp_path):
     e = Engine(spark, str(root), str(tmp_path / "store"))
     assert e.rebuild()["nodes"] > 15

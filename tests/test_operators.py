@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import embed, paths, ranking, text
 from lattica.operators import changes, constraints, lookup, resolve, rollup, search, traverse, vectors
-from lattica.sources import extract, manifests, tree
+from lattica.sources import extract, manifests, walk
 
 
 def one(spark, column, **values):
@@ -104,10 +104,13 @@ def test_manifests():
     assert manifests.parse("package.json", "{") is None and manifests.parse("package.json", "{}") is None and manifests.parse("x.txt", "") is None
 
 
-def test_ignore_rules(spark):
-    rules = tree.ignore_rules("*.log\n!keep.log\n/top\nsub/dir/\n# no\ndeep/**/x\n")
-    for path, want in [("a/b.log", True), ("a/keep.log", False), ("top/x", True), ("a/top", False), ("sub/dir/f", True), ("deep/a/b/x", True), ("deep/x", True), ("other", False)]:
-        assert one(spark, tree.ignored(F.col("p"), rules), p=path) == want, path
+def test_ignore_rules():
+    rules = [walk.Rules("*.log\n!keep.log\n/top\nsub/dir/\n# no\ndeep/**/x\n\\#hash\n[a-c]?.txt\nwide/**\nblank \n")]
+    for path, want in [("a/b.log", True), ("a/keep.log", False), ("top", True), ("a/top", False), ("sub/dir", False), ("deep/a/b/x", True), ("deep/x", True), ("other", False), ("#hash", True), ("b1.txt", True), ("d1.txt", False), ("wide/x", True), ("blank", True)]:
+        assert walk.ignored(path, False, rules) == want, path
+    assert walk.ignored("sub/dir", True, rules) and not walk.ignored("x/sub/dir", True, rules)
+    many = [walk.Rules("\n".join(f"/gone/f{i}\n*.g{i}" for i in range(5000)))]
+    assert walk.ignored("gone/f4999", False, many) and walk.ignored("a/b.g17", False, many) and not walk.ignored("gone/f5000", False, many)
 
 
 @pytest.fixture(scope="module")
