@@ -81,14 +81,22 @@ class Onnx:
 
         if not hasattr(self, "_run"):
             self._run, self._tok = onnxruntime.InferenceSession(self.model), Tokenizer.from_file(self.tokenizer)
-        ids = [e.ids[: self.most] or [self.pad] for e in self._tok.encode_batch([t or "" for t in texts])]
-        size = max(map(len, ids))
-        x, mask = np.full((len(ids), size), self.pad, np.int64), np.zeros((len(ids), size), np.int64)
-        for i, row in enumerate(ids):
-            x[i, : len(row)], mask[i, : len(row)] = row, 1
+        # a long text goes through the model in windows; the mean is taken over all of its tokens
+        windows = [(i, e.ids[at : at + self.most]) for i, e in enumerate(self._tok.encode_batch([t or "" for t in texts])) for at in range(0, max(1, len(e.ids)), self.most)]
+        total, count = None, np.zeros(len(texts))
         want = {i.name for i in self._run.get_inputs()}
-        hidden = self._run.run(None, {k: v for k, v in {"input_ids": x, "attention_mask": mask, "token_type_ids": np.zeros_like(x)}.items() if k in want})[0]
-        return normal(mean_pool(hidden, mask))
+        for low in range(0, len(windows), BATCH):
+            part = windows[low : low + BATCH]
+            size = max(1, *(len(w) for _, w in part)) if len(part) > 1 else max(1, len(part[0][1]))
+            x, mask = np.full((len(part), size), self.pad, np.int64), np.zeros((len(part), size), np.int64)
+            for row, (_, w) in enumerate(part):
+                x[row, : len(w)], mask[row, : len(w)] = w, 1
+            hidden = self._run.run(None, {k: v for k, v in {"input_ids": x, "attention_mask": mask, "token_type_ids": np.zeros_like(x)}.items() if k in want})[0]
+            at, n = np.array([i for i, _ in part]), mask.sum(1)
+            total = np.zeros((len(texts), hidden.shape[-1]), np.float32) if total is None else total
+            np.add.at(total, at, mean_pool(hidden, mask) * n[:, None])
+            np.add.at(count, at, n)
+        return normal(total / np.maximum(count, 1)[:, None])
 
     def status(self) -> tuple[bool, str]:
         return os.path.isfile(self.model), self.model
@@ -156,7 +164,7 @@ def provider(kind: str = "hashing", **options) -> Provider:
 
 
 def embed(text: Column, by: Provider, code: bool = False) -> Column:
-    """array<float> of each text, a batch a call; null texts have none. Vectors of another width are an error."""
+    """array<float> of each text, a batch a call; null texts have none, nor have those of a batch that the provider gives up on. Vectors of another width are an error."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +173,10 @@ def embed(text: Column, by: Provider, code: bool = False) -> Column:
             some = [i for i, t in enumerate(s) if t is not None]
             for low in range(0, len(some), BATCH):
                 at = some[low : low + BATCH]
-                m = by.encode([s.iloc[i] for i in at], code)
+                try:
+                    m = by.encode([s.iloc[i] for i in at], code)
+                except ProviderError:
+                    continue
                 if m.shape[1] != by.dim:
                     raise ValueError(f"vectors of {m.shape[1]} instead of {by.dim} numbers")
                 for i, v in zip(at, m, strict=True):

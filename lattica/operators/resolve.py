@@ -15,13 +15,13 @@ def last_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def resolve_references(references: DataFrame, definitions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """USES edges (source, target, edge_type, ref_line, ident) of references (name, source_id, line) to the last definition of their name; none to itself or from a source that does not exist.
+    """USES edges (source, target, edge_type, ref_line, ident) of references (name, source_id, line) to the last definition of their name; none to itself or from a source that does not exist. Where references have a column file, so has the result.
 
     The side of the definitions has one row a name, so a popular name is skewed on one side only, which AQE splits."""
     names = last_definitions(definitions).withColumnRenamed("id", "target")
     hit = references.join(names, "name").where(F.col("source_id") != F.col("target"))
     hit = hit.join(nodes.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-    return hit.select(F.col("source_id").alias("source"), "target", F.lit("USES").alias("edge_type"), F.col("line").alias("ref_line"), F.col("name").alias("ident")).distinct()
+    return hit.select(F.col("source_id").alias("source"), "target", F.lit("USES").alias("edge_type"), F.col("line").alias("ref_line"), F.col("name").alias("ident"), *(["file"] if "file" in references.columns else [])).distinct()
 
 
 def enclosing(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:

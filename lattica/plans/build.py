@@ -16,7 +16,7 @@ from ..sources.shared import cut
 from . import tables
 
 #: Extracted rows, as they are kept for updates.
-ROWS = "row string, id string, name string, node_type string, kind string, subtype string, file string, line int, end_line int, span_start int, span_end int, seq int, meta string, other string, hash string"
+ROWS = "row string, id string, name string, node_type string, kind string, subtype string, file string, line int, end_line int, span_start int, span_end int, seq int, meta string, other string, hash string, text string"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,11 +29,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, text, language, hash_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             nodes, edges, refs = extract.build_file(path, text or "", language)
             for n in nodes:
-                rows.append(("node", n["id"], n["name"], n["node_type"], n["kind"], n["subtype"], path, n["line"], n["end_line"], *n["span"], n.get("seq", -1), json.dumps(n["metadata"]), None, hash_ if n["kind"] == "file" else None))
+                rows.append(("node", n["id"], n["name"], n["node_type"], n["kind"], n["subtype"], path, n["line"], n["end_line"], *n["span"], n.get("seq", -1), json.dumps(n["metadata"]), None, hash_ if n["kind"] == "file" else None, n.get("text")))
             for a, b, kind in edges:
-                rows.append(("edge", a, None, None, kind, None, path, None, None, None, None, None, None, b, None))
+                rows.append(("edge", a, None, None, kind, None, path, None, None, None, None, None, None, b, None, None))
             for name, source, line in refs:
-                rows.append(("ref", source, name, None, None, None, path, line, None, None, None, None, None, None, None))
+                rows.append(("ref", source, name, None, None, None, path, line, None, None, None, None, None, None, None, None))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
@@ -48,50 +48,77 @@ def extract_files(files: DataFrame) -> DataFrame:
 def _node(df: DataFrame, root: str) -> DataFrame:
     file = F.coalesce("file", F.lit(""))
     return df.select(
-        "id", "name", "node_type", "kind", "subtype", "file", "line", "end_line", F.lit(None).cast("string").alias("text"), "hash",
+        "id", "name", "node_type", "kind", "subtype", "file", "line", "end_line", "text", "hash",
         F.from_json(F.coalesce("meta", F.lit("{}")), tables.METADATA).alias("metadata"), "span_start", "span_end", F.lit(root).alias("root"), paths.partition_id(F.lit(root), file).alias("partition_id"),
     )
 
 
 def _edge(df: DataFrame) -> DataFrame:
+    """Edges with what changes of them are made by: `_file`, empty if they come from no source file, and `_name`, the name that was resolved."""
     have = dict(df.dtypes)
     types = {c.split()[0]: c.split()[1] for c in tables.EDGES.split(", ")[:7]}
-    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()], (F.col("file") if "file" in have else F.lit("")).alias("_file"), (F.when(F.col("edge_type") == "USES", F.col("ident")) if "ident" in have else F.lit(None)).cast("string").alias("_name"))
 
 
 def build(files: DataFrame, repo: str, root: str | None = None, with_components: bool = True, include_data: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a repository. The extraction is written once to the shared folder, since several plans read it."""
     found = cut(tree.components(files, repo)) if with_components else None
-    return graph(cut(extract_files(files)), repo, root, found, include_data)
+    nodes, edges = graph(cut(extract_files(files)), repo, root, found, include_data)
+    return nodes, edges.drop("_file", "_name")
+
+
+def entities(rows: DataFrame, root: str) -> DataFrame:
+    """Nodes of files and what is in them."""
+    return _node(rows.where("row = 'node'"), root)
+
+
+def structure(rows: DataFrame, repo: str) -> DataFrame:
+    """CONTAINS and DEFINES edges of files and what is in them."""
+    inner = rows.where("row = 'edge'").select(F.col("id").alias("source"), F.col("other").alias("target"), F.col("kind").alias("edge_type"), "file")
+    files_of = rows.where("row = 'node' and kind = 'file'").select(F.lit(repo).alias("source"), F.col("id").alias("target"), F.lit("CONTAINS").alias("edge_type"), "file")
+    return _edge(inner).unionByName(_edge(files_of))
+
+
+def definitions(rows: DataFrame) -> DataFrame:
+    """What names are resolved to."""
+    return rows.where("row = 'node' and kind <> 'file'").select("name", "id", "file", F.col("span_start").alias("start_line"), F.col("span_end").alias("end_line"), "seq")
+
+
+def references(rows: DataFrame) -> DataFrame:
+    return rows.where("row = 'ref'").select("name", F.col("id").alias("source_id"), "line", "file")
+
+
+def uses(refs: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _edge(resolve.resolve_references(refs, defs, nodes))
 
 
 def graph(rows: DataFrame, repo: str, root: str | None = None, components: DataFrame | None = None, include_data: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from extracted rows: the repository's node, files, entities, CONTAINS, DEFINES, USES, and components with DEPENDS_ON."""
     root = root or repo
     spark = rows.sparkSession
-    found = rows.where("row = 'node'")
     if not include_data:
-        found = found.where("node_type <> 'Data'")
-    top = spark.createDataFrame([(repo, repo, "Container", "repository")], "id string, name string, node_type string, kind string").selectExpr("id", "name", "node_type", "kind", "cast(null as string) subtype", "cast(null as string) file", "1 line", "1 end_line", "cast(null as int) span_start", "cast(null as int) span_end", "cast(null as string) meta", "cast(null as string) hash")
-    nodes = _node(found, root).unionByName(_node(top, root))
-    inner = rows.where("row = 'edge'").select(F.col("id").alias("source"), F.col("other").alias("target"), F.col("kind").alias("edge_type"))
-    if not include_data:
-        inner = inner.join(found.select(F.col("id").alias("target")), "target", "left_semi")
-    files_of = found.where("kind = 'file'").select(F.lit(repo).alias("source"), F.col("id").alias("target"), F.lit("CONTAINS").alias("edge_type"))
-    defs = found.where("kind <> 'file'").select("name", "id", "file", F.col("span_start").alias("start_line"), F.col("span_end").alias("end_line"), "seq")
-    refs = rows.where("row = 'ref'").select("name", F.col("id").alias("source_id"), "line")
-    uses = resolve.resolve_references(refs, defs, nodes)
-    edges = _edge(inner).unionByName(_edge(files_of)).unionByName(_edge(uses))
+        data = rows.where("row = 'node' and node_type = 'Data'").select("id")
+        rows = rows.where("node_type is null or node_type <> 'Data'").join(data.select(F.col("id").alias("other")), "other", "left_anti")
+    top = spark.createDataFrame([(repo, repo, "Container", "repository")], "id string, name string, node_type string, kind string").selectExpr("id", "name", "node_type", "kind", "cast(null as string) subtype", "cast(null as string) file", "1 line", "1 end_line", "cast(null as int) span_start", "cast(null as int) span_end", "cast(null as string) meta", "cast(null as string) hash", "cast(null as string) text")
+    nodes = entities(rows, root).unionByName(_node(top, root))
+    edges = structure(rows, repo).unionByName(uses(references(rows), definitions(rows), nodes))
     if components is not None:
         n, e = component_graph(components, repo, root)
         nodes, edges = nodes.unionByName(n), edges.unionByName(e)
     return nodes, edges
 
 
+def affected_names(old: DataFrame, new: DataFrame, names: DataFrame) -> DataFrame:
+    """(name): of the names those that are resolved otherwise by the definitions `new` than by `old`."""
+    a, b = (resolve.last_definitions(d.join(names, "name", "left_semi")).withColumnRenamed("id", i) for d, i in ((old, "_a"), (new, "_b")))
+    return a.join(b, "name", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("name")
+
+
 def component_graph(components: DataFrame, repo: str, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes, CONTAINS and DEPENDS_ON of components."""
     meta = F.to_json(F.struct("is_workspace_root", "manifest_path", F.lit(True).alias("is_publishable")))
-    rows = components.select(F.col("node_id").alias("id"), "name", F.lit("Container").alias("node_type"), F.lit("component").alias("kind"), F.col("ecosystem").alias("subtype"), F.col("manifest_path").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), meta.alias("meta"), F.lit(None).cast("string").alias("hash"))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    rows = components.select(F.col("node_id").alias("id"), "name", F.lit("Container").alias("node_type"), F.lit("component").alias("kind"), F.col("ecosystem").alias("subtype"), F.col("manifest_path").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("end_line"), none("int", "span_start"), none("int", "span_end"), meta.alias("meta"), none("string", "hash"), none("string", "text"))
     rows = resolve.last_wins(rows, ["id"], ["file"])
     above = resolve.component_parents(components, repo).select(F.col("parent").alias("source"), F.col("node_id").alias("target"), F.lit("CONTAINS").alias("edge_type")).distinct()
     return _node(rows, root or repo), _edge(above).unionByName(_edge(resolve.dependency_edges(components)))
@@ -112,6 +139,6 @@ def build_workspace(spark, path: str, name: str | None = None) -> tuple[DataFram
         parts.append(build(files, r["path"], r["name"]))
     first = parts[0][0].limit(0)
     top = first.unionByName(spark.createDataFrame([(f"workspace:{name}", name, "Container", "workspace", name, f"{name}_root")], "id string, name string, node_type string, kind string, root string, partition_id string"), allowMissingColumns=True)
-    links = _edge(spark.createDataFrame([(f"workspace:{name}", r["path"], "CONTAINS") for r in roots], "source string, target string, edge_type string"))
+    links = _edge(spark.createDataFrame([(f"workspace:{name}", r["path"], "CONTAINS") for r in roots], "source string, target string, edge_type string")).drop("_file", "_name")
     nodes = reduce(DataFrame.unionByName, [p[0] for p in parts] + [top])
     return nodes, reduce(DataFrame.unionByName, [p[1] for p in parts] + [links])

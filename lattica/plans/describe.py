@@ -30,16 +30,18 @@ def description() -> Column:
 
 
 def with_content(nodes: DataFrame, files: DataFrame, span: bool = False) -> DataFrame:
-    """nodes with `content`: their lines, or with span their whole declaration. files: path, text."""
+    """nodes with `content`: their lines, or with span their whole declaration. files: path, text. The text of a file is joined to each of its nodes: for files of few entities; a stored graph has the lines themselves as `text`."""
     f = files.select(F.col("path").alias("_path"), F.col("text").alias("_source"))
     first, last = (F.coalesce("span_start", "line"), F.coalesce("span_end", "end_line")) if span else (F.col("line"), F.col("end_line"))
     return nodes.join(f, F.col("file") == F.col("_path"), "left").withColumn("content", F.coalesce(text.lines(F.col("_source"), first, last), F.lit(""))).drop("_path", "_source")
 
 
-def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (with content) with `semantic_text`: description, inheritance, parameters, members, parent, file, references, keywords and a preview, joined by `. `."""
+def describe(nodes: DataFrame, edges: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """nodes (with content), or those of `about`, with `semantic_text`: description, inheritance, parameters, members, parent, file, references, keywords and a preview, joined by `. `."""
     n = nodes.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("node_type").alias("_type"), F.col("kind").alias("_kind"), F.col("subtype").alias("_sub"), F.col("line").alias("_line"))
-    out = edges.join(n, F.col("target") == F.col("_id"))
+    about = nodes if about is None else about
+    ids = about.select(F.col("id").alias("_own"))
+    out = edges.join(ids, F.col("source") == F.col("_own"), "left_semi").join(n, F.col("target") == F.col("_id"))
     name, uses, has = F.col("_name"), F.col("edge_type") == "USES", F.col("edge_type") == "CONTAINS"
     label = lambda word, c: F.concat(F.lit(f"{word} "), c)
     kids = out.groupBy(F.col("source").alias("_s")).agg(
@@ -52,8 +54,8 @@ def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         _first(uses & (F.col("_type") == "Container") & F.coalesce(F.col("_sub") == "interface", F.lit(False)), name, name).alias("_implements"),
         _first(uses & (F.col("_type") == "Container") & ~F.coalesce(F.col("_sub") == "interface", F.lit(False)), name, name).alias("_extends"),
     )
-    above = edges.where("edge_type = 'CONTAINS'").join(n, F.col("source") == F.col("_id")).where("_kind <> 'file' and _kind <> 'repository'").groupBy(F.col("target").alias("_t")).agg(F.min_by("_name", "source").alias("_parent"))
-    all_ = nodes.join(kids, F.col("id") == F.col("_s"), "left").join(above, F.col("id") == F.col("_t"), "left")
+    above = edges.where("edge_type = 'CONTAINS'").join(ids, F.col("target") == F.col("_own"), "left_semi").join(n, F.col("source") == F.col("_id")).where("_kind <> 'file' and _kind <> 'repository'").groupBy(F.col("target").alias("_t")).agg(F.min_by("_name", "source").alias("_parent"))
+    all_ = about.join(kids, F.col("id") == F.col("_s"), "left").join(above, F.col("id") == F.col("_t"), "left")
     container, callable_ = F.col("node_type") == "Container", F.col("node_type") == "Callable"
     is_file = F.coalesce(F.col("kind") == "file", F.lit(False))
     members = F.concat_ws(", ", label("methods:", F.col("_methods")), label("properties:", F.col("_properties")), label("fields:", F.col("_fields")))
@@ -70,4 +72,4 @@ def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(F.size(words) > 0, F.concat(F.lit("related to: "), F.array_join(words, ", "))),
         F.concat(F.lit("code: "), F.nullif(text.preview(F.col("content")), F.lit(""))),
     ]
-    return all_.select(*nodes.columns, F.concat_ws(". ", *parts).alias("semantic_text"))
+    return all_.select(*about.columns, F.concat_ws(". ", *parts).alias("semantic_text"))

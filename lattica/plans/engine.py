@@ -6,15 +6,16 @@ import json
 import os
 import re
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embed, paths, text
 from ..operators import changes, lookup, resolve, rollup, search, traverse
-from ..sources import tree
-from ..sources.shared import cut
-from ..sources.store import Store
+from ..sources import tree, walk
+from ..sources.shared import cut, scope
+from ..sources.store import Store, gone_by
 from . import build, describe
 
 POINTS = ("points_semantic", "points_code")
@@ -55,17 +56,17 @@ class Engine:
 
     def rebuild(self) -> dict:
         """The whole graph and snapshot anew."""
-        files = self.files()
-        if files.limit(1).isEmpty():
-            raise NotFound(f"no files below {self.path}")
-        return self._save(build.extract_files(files), files)
-
-    def _save(self, rows: DataFrame, files: DataFrame) -> dict:
-        """Write extracted rows, the graph that follows from them, and the snapshot."""
-        rows = self.store.write("rows", rows)
-        stats = self.store.save_graph(*build.graph(rows, self.name, components=cut(tree.components(files, self.name))), tree.snapshot(files, self.name))
-        self.store.meta("version", self.graph_version())
-        return stats
+        with scope():
+            files = self.files()
+            snap = cut(tree.snapshot(files, self.name))
+            if snap.limit(1).isEmpty():
+                raise NotFound(f"no files below {self.path}")
+            rows = cut(build.extract_files(files))
+            return self.store.save_graph(*build.graph(rows, self.name, components=self._components(snap)), snap, {"version": changes.version(snap).first()[0]}, rows=rows)
+
+    def _components(self, snap: DataFrame) -> DataFrame:
+        manifests = snap.where(paths.manifest_language(F.col("path")).isNotNull())
+        return cut(tree.components(tree.read(manifests, self.path), self.name))
 
     def graph_version(self) -> str:
         return changes.version(self.store.read("files")).first()[0]
@@ -75,46 +76,85 @@ class Engine:
         return changes.diff(self.store.read("files"), tree.snapshot(self.files(), self.name))
 
     def update(self, force: bool = False) -> dict:
-        """Bring the graph up to date: only changed files are parsed again, names are resolved over the rows of all; the result is that of rebuild()."""
+        """Bring the graph up to date: only changed files are parsed again, only names that now mean something else are resolved again, and only that is written; the result is that of rebuild()."""
         if force or not self.store.exists("nodes"):
             return {"full": True, **self.rebuild()}
-        found = cut(self.changes())
-        n = changes.totals(found).first().asDict()
-        if not n["n_total"]:
+        with scope():
+            snap = cut(tree.snapshot(self.files(), self.name))
+            found = cut(changes.diff(self.store.read("files"), snap))
+            n = changes.totals(found).first().asDict()
+            if not n["n_total"]:
+                return {"full": False, **n}
+            self._patch(snap, found, 1 + n["n_total"] // 100)
+            if self.store.exists(POINTS[0]):
+                self.index(found)
             return {"full": False, **n}
-        files = self.files()
-        fresh = build.extract_files(files.join(changes.to_process(found), "path", "left_semi"))
-        self._save(changes.replace(self.store.read("rows"), found, fresh, "file"), files)
-        if self.store.exists(POINTS[0]):
-            self.index(found)
-        return {"full": False, **n}
+
+    def _patch(self, snap: DataFrame, found: DataFrame, tasks: int) -> None:
+        """Write what a change set (path, op) changes in the tables; `tasks` read its files."""
+        spark, touched = self.spark, found.select("path")
+        gone = lambda *keys: reduce(DataFrame.unionByName, keys)
+        by_file = lambda key: touched.select(F.lit(key).alias("key"), F.col("path").alias("value"))
+        fresh = cut(build.extract_files(tree.read(changes.to_process(found), self.path, tasks)))
+        old = self.store.read("rows")
+        kept = old.join(touched, F.col("file") == F.col("path"), "left_anti")
+        now = kept.unionByName(fresh)
+        before = old.join(touched, F.col("file") == F.col("path"), "left_semi")
+        names = before.unionByName(fresh).where("row = 'node'").select("name").distinct()
+        names = cut(build.affected_names(build.definitions(old), build.definitions(now), names))
+        refs = build.references(fresh).unionByName(build.references(kept).join(names, "name", "left_semi"))
+        edges = build.structure(fresh, self.name).unionByName(build.uses(refs, build.definitions(now), now.where("row = 'node'")))
+        nodes = build.entities(fresh, self.name)
+        gone_nodes, gone_edges = [by_file("file")], [by_file("_file"), names.select(F.lit("_name").alias("key"), F.col("name").alias("value"))]
+        if not found.where(paths.manifest_language(F.col("path")).isNotNull()).isEmpty():
+            n, e = build.component_graph(self._components(snap), self.name)
+            nodes, edges = nodes.unionByName(n), edges.unionByName(e)
+            gone_nodes.append(gone_by(spark, "kind", ["component"]))
+            gone_edges.append(gone_by(spark, "_file", [""]))
+            kept_nodes = self.nodes.where("kind <> 'component'")
+        else:
+            kept_nodes = self.nodes
+        nodes = cut(nodes)
+        ends = kept_nodes.join(touched, F.col("file") == F.col("path"), "left_anti").unionByName(nodes)
+        self.store.commit(
+            changes={
+                "rows": (fresh, by_file("file")),
+                "nodes": (nodes, gone(*gone_nodes)),
+                "edges": (lookup.classify_edges(edges, ends), gone(*gone_edges)),
+                "files": (snap.join(changes.to_process(found), "path", "left_semi"), by_file("path")),
+            },
+            meta={"version": changes.version(snap).first()[0]},
+        )
 
     # Vectors
 
     def _points(self, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        src = tree.sources(self.files()).select("path", "text")
-        nodes = self.nodes
-        full = describe.describe(describe.with_content(nodes, src), self.edges)
-        own = full.where(~F.col("kind").isin("file", "repository") & (F.trim("content") != ""))
+        nodes = self.nodes.withColumn("content", F.coalesce("text", F.lit("")))
+        own = nodes.where("kind is null or kind not in ('file', 'repository')").where("trim(content) <> ''")
         if only is not None:
             own = own.join(only, F.col("file") == F.col("path"), "left_semi")
-        base = own.select(F.lit(self.name).alias("repo_id"), F.xxhash64("id", F.lit(self.name)).alias("point_id"), F.col("id").alias("entity_id"), "name", F.col("node_type").alias("type"), "kind", "subtype", F.col("file").alias("file_path"), F.col("line").alias("start_line"), F.col("end_line"), "content", "semantic_text")
+        full = describe.describe(nodes, self.edges, own)
+        base = full.select(F.lit(self.name).alias("repo_id"), F.xxhash64("id", F.lit(self.name)).alias("point_id"), F.col("id").alias("entity_id"), "name", F.col("node_type").alias("type"), "kind", "subtype", F.col("file").alias("file_path"), F.col("line").alias("start_line"), F.col("end_line"), "content", "semantic_text")
+        base = cut(base)
         semantic = base.withColumn("vector", embed.embed(F.col("semantic_text"), self.provider)).drop("semantic_text")
         code = base.withColumn("vector", embed.embed(F.col("content"), self.provider, code=True)).drop("semantic_text")
         return semantic, code
 
     def index(self, found: DataFrame | None = None, force: bool = True) -> dict:
-        """Vectors of all entities, or of the files of a change set, whose old ones go."""
+        """Vectors of all entities, or of the files of a change set, whose old ones go. Returns how many entities there are to index, how many have vectors of either kind, and how many were left without (their batch failed)."""
         if not force and self.store.exists(POINTS[0]):
             return {"indexed": 0}
-        only = changes.to_process(found) if found is not None else None
-        n = 0
-        for name, fresh in zip(POINTS, self._points(only), strict=True):
-            table = fresh if found is None else changes.replace(self.store.read(name), found, fresh, "file_path")
-            n = self.store.write(name, table).count()
-        self.store.meta("indexed_version", self.graph_version())
-        self.store.meta("indexed_at", str(int(time.time())))
-        return {"indexed": n}
+        with scope():
+            meta = {"indexed_version": self.store.meta("version"), "indexed_at": str(int(time.time()))}
+            only = changes.to_process(found) if found is not None else None
+            fresh = dict(zip(POINTS, self._points(only), strict=True))
+            if found is None:
+                self.store.commit(fresh, meta=meta)
+            else:
+                gone = found.select(F.lit("file_path").alias("key"), F.col("path").alias("value"))
+                self.store.commit(changes={n: (df, gone) for n, df in fresh.items()}, meta=meta)
+        counts = {n: self.store.read(n).agg(F.count("*"), F.count("vector")).first() for n in POINTS}
+        return {"indexed": min(c[1] for c in counts.values()), "total": counts[POINTS[0]][0], "failed": max(c[0] - c[1] for c in counts.values())}
 
     def index_status(self) -> dict:
         counts = {n: self.store.read(n).count() if self.store.exists(n) else 0 for n in POINTS}
@@ -177,9 +217,11 @@ class Engine:
         return self.read_file(n["file"], first, last, context, most)
 
     def read_file(self, path: str, first: int, last: int, context: int = 0, most: int | None = None) -> str:
-        # one file: only it is listed and read
-        row = self.spark.read.format("binaryFile").load(f"{self.path.rstrip('/')}/{path}").select(text.lines(F.col("content").cast("string"), F.lit(first), F.lit(last), context, most).alias("t")).first()
-        return row["t"]
+        content = walk.Disk(self.path).read(path)  # one file
+        if content is None:
+            raise NotFound(path)
+        one = self.spark.createDataFrame([(content.decode("utf-8", "replace"),)], "content string")
+        return one.select(text.lines(F.col("content"), F.lit(first), F.lit(last), context, most).alias("t")).first()["t"]
 
     def graph_stats(self) -> DataFrame:
         return rollup.graph_stats(self.nodes, self.edges)

@@ -8,4 +8,4 @@ EDGES = "source string, target string, edge_type string, ref_line int, ident str
 FILES = "path string, sha256 string, n_bytes bigint, language string, root string"
 POINTS = "repo_id string, point_id bigint, entity_id string, name string, type string, kind string, subtype string, file_path string, start_line int, end_line int, content string, vector array<float>"
 COMPONENTS = "node_id string, name string, manifest_path string, directory string, ecosystem string, version string, is_workspace_root boolean, workspace_members array<string>, local_dependencies array<struct<name:string,path:string,dep_type:string,is_dev:boolean,is_build:boolean,version_spec:string>>"
-VERSION = "1.1"
+VERSION = "1.2"

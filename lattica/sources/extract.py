@@ -9,6 +9,7 @@ code: macros and code made by preprocessors are not understood.
 from __future__ import annotations
 
 import ast
+import heapq
 import re
 from typing import NamedTuple
 
@@ -85,31 +86,31 @@ _BLANK = {
     "python": re.compile(r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
 }
 _N = r"(?P<n>[A-Za-z_$][\w$]*)"
-_DEF = "(?:(?:export|default|declare|abstract|async|public|private|protected|internal|static|sealed|partial|virtual|override|readonly|pub(?:\\([^)]*\\))?|unsafe|extern|inline|constexpr|const|typedef|final)\\s+)*"
+_DEF = "(?:(?:export|default|declare|abstract|async|public|private|protected|internal|static|sealed|partial|virtual|override|readonly|pub(?:\\([^)]*\\))?|unsafe|extern|inline|constexpr|const|typedef|final|@[\\w.]+(?:\\([^()\n]*\\))?|#\\[[^\\]\n]*\\]|\\[[\\w.]+(?:\\([^()\n]*\\))?\\](?=\\s))\\s+)*"
 #: (pattern, node type, kind, subtype, where): where is None, or the subtype or kind that must be directly around.
 _RULES: dict[str, list[tuple[str, str, str, str | None, str | None]]] = {
     "js": [
-        (rf"^\s*{_DEF}class\s+{_N}", "Container", "type", "class", None),
-        (rf"^\s*{_DEF}interface\s+{_N}", "Container", "type", "interface", None),
-        (rf"^\s*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
-        (rf"^\s*{_DEF}type\s+{_N}\s*(?:<[^=]*>)?\s*=", "Container", "type", "alias", None),
-        (rf"^\s*{_DEF}(?:namespace|module)\s+{_N}\s*\{{", "Container", "namespace", None, None),
-        (rf"^\s*{_DEF}function\s*\*?\s*{_N}\s*[(<]", "Callable", "function", None, None),
-        (rf"^\s*{_DEF}(?:const|let|var)?\s*{_N}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>)", "Callable", "function", None, None),
-        (r"^\s*(?P<n>constructor)\s*\(", "Callable", "constructor", None, "class"),
-        (rf"^\s*{_DEF}(?:get\s+|set\s+|\*\s*|#)?{_N}\s*(?:<[^>\n]*>)?\([^;{{}}]*\)\s*(?::[^={{;]+)?\{{", "Callable", "method", None, "class"),
-        (rf"^\s*{_DEF}{_N}\s*(?:<[^>\n]*>)?\([^;{{}}]*\)\s*:[^={{;]+;", "Callable", "method", None, "interface"),
-        (rf"^\s*{_DEF}(?:#)?{_N}\s*[?!]?\s*(?::[^=;(]+)?(?:=[^=>]|;)", "Data", "field", None, "class"),
-        (rf"^\s*{_DEF}{_N}\s*\??\s*:", "Data", "field", None, "interface"),
-        (rf"^\s*{_N}\s*(?:=[^,\n]*)?,?\s*$", "Data", "constant", None, "enum"),
+        (rf"^[ \t]*{_DEF}class\s+{_N}", "Container", "type", "class", None),
+        (rf"^[ \t]*{_DEF}interface\s+{_N}", "Container", "type", "interface", None),
+        (rf"^[ \t]*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
+        (rf"^[ \t]*{_DEF}type\s+{_N}\s*(?:<[^=]*>)?\s*=", "Container", "type", "alias", None),
+        (rf"^[ \t]*{_DEF}(?:namespace|module)\s+{_N}\s*\{{", "Container", "namespace", None, None),
+        (rf"^[ \t]*{_DEF}function\s*\*?\s*{_N}\s*[(<]", "Callable", "function", None, None),
+        (rf"^[ \t]*{_DEF}(?:const|let|var)?\s*{_N}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>)", "Callable", "function", None, None),
+        (r"^[ \t]*(?P<n>constructor)\s*\(", "Callable", "constructor", None, "class"),
+        (rf"^[ \t]*{_DEF}(?:get\s+|set\s+|\*\s*|#)?{_N}\s*(?:<[^>\n]*>)?\([^;{{}}]{{0,2000}}\)\s*(?::[^={{;]{{1,500}})?\{{", "Callable", "method", None, "class"),
+        (rf"^[ \t]*{_DEF}{_N}\s*(?:<[^>\n]*>)?\([^;{{}}]{{0,2000}}\)\s*:[^={{;]{{1,500}};", "Callable", "method", None, "interface"),
+        (rf"^[ \t]*{_DEF}(?:#)?{_N}\s*[?!]?\s*(?::[^=;(]+)?(?:=[^=>]|;)", "Data", "field", None, "class"),
+        (rf"^[ \t]*{_DEF}{_N}\s*\??\s*:", "Data", "field", None, "interface"),
+        (rf"^[ \t]*{_N}\s*(?:=[^,\n]*)?,?[ \t]*$", "Data", "constant", None, "enum"),
         (rf"^(?:export\s+)?(?:const|let|var)\s+{_N}\s*(?::[^=\n]+)?=", "Data", "constant", None, "file"),
         (rf"\bthis\.{_N}\s*=[^=]", "Data", "field", None, "constructor"),
     ],
     "go": [
         (rf"^package\s+{_N}", "Container", "module", None, None),
-        (rf"^\s*type\s+{_N}(?:\[[^\]]*\])?\s+struct\b", "Container", "type", "struct", None),
-        (rf"^\s*type\s+{_N}(?:\[[^\]]*\])?\s+interface\b", "Container", "type", "interface", None),
-        (rf"^\s*type\s+{_N}\s+=?\s*(?!struct|interface)\S", "Container", "type", "alias", None),
+        (rf"^[ \t]*type\s+{_N}(?:\[[^\]]*\])?\s+struct\b", "Container", "type", "struct", None),
+        (rf"^[ \t]*type\s+{_N}(?:\[[^\]]*\])?\s+interface\b", "Container", "type", "interface", None),
+        (rf"^[ \t]*type\s+{_N}\s+=?\s*(?!struct|interface)\S", "Container", "type", "alias", None),
         (rf"^func\s+\(\s*\w*\s*\*?(?P<o>\w+)[^)]*\)\s*{_N}\s*\(", "Callable", "method", None, None),
         (rf"^func\s+{_N}\s*[(\[]", "Callable", "function", None, None),
         (rf"^\s+{_N}\s+[\w*\[\].]+", "Data", "field", None, "struct"),
@@ -117,55 +118,55 @@ _RULES: dict[str, list[tuple[str, str, str, str | None, str | None]]] = {
         (rf"^(?:const|var)\s+{_N}", "Data", "constant", None, "file"),
     ],
     "rust": [
-        (rf"^\s*{_DEF}mod\s+{_N}", "Container", "module", None, None),
-        (rf"^\s*{_DEF}struct\s+{_N}", "Container", "type", "struct", None),
-        (rf"^\s*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
-        (rf"^\s*{_DEF}union\s+{_N}\s*\{{", "Container", "type", "union", None),
-        (rf"^\s*{_DEF}trait\s+{_N}", "Container", "type", "trait", None),
-        (rf"^\s*{_DEF}type\s+{_N}\s*(?:<[^=]*>)?\s*=", "Container", "type", "alias", None),
-        (rf"^\s*{_DEF}fn\s+{_N}", "Callable", "function", None, None),
-        (rf"^\s*macro_rules!\s*{_N}", "Callable", "macro", None, None),
-        (rf"^\s*{_DEF}(?:const|static)\s+(?:mut\s+)?{_N}\s*:", "Data", "constant", None, None),
-        (rf"^\s*{_DEF}{_N}\s*:[^:]", "Data", "field", None, "struct"),
-        (rf"^\s*{_N}\s*(?:[({{][^\n]*)?,?\s*$", "Data", "constant", None, "enum"),
+        (rf"^[ \t]*{_DEF}mod\s+{_N}", "Container", "module", None, None),
+        (rf"^[ \t]*{_DEF}struct\s+{_N}", "Container", "type", "struct", None),
+        (rf"^[ \t]*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
+        (rf"^[ \t]*{_DEF}union\s+{_N}\s*\{{", "Container", "type", "union", None),
+        (rf"^[ \t]*{_DEF}trait\s+{_N}", "Container", "type", "trait", None),
+        (rf"^[ \t]*{_DEF}type\s+{_N}\s*(?:<[^=]*>)?\s*=", "Container", "type", "alias", None),
+        (rf"^[ \t]*{_DEF}fn\s+{_N}", "Callable", "function", None, None),
+        (rf"^[ \t]*macro_rules!\s*{_N}", "Callable", "macro", None, None),
+        (rf"^[ \t]*{_DEF}(?:const|static)\s+(?:mut\s+)?{_N}\s*:", "Data", "constant", None, None),
+        (rf"^[ \t]*{_DEF}{_N}\s*:[^:]", "Data", "field", None, "struct"),
+        (rf"^[ \t]*{_N}\s*(?:[({{][^\n]*)?,?[ \t]*$", "Data", "constant", None, "enum"),
     ],
     "c": [
-        (rf"^\s*{_DEF}(?:inline\s+)?namespace\s+{_N}", "Container", "namespace", None, None),
-        (rf"^\s*(?:template\s*<[^\n]*>\s*)?{_DEF}class\s+{_N}[^;(){{}}]*\{{", "Container", "type", "class", None),
-        (rf"^\s*(?:template\s*<[^\n]*>\s*)?{_DEF}struct\s+{_N}[^;(){{}}]*\{{", "Container", "type", "struct", None),
-        (rf"^\s*{_DEF}union\s+{_N}\s*\{{", "Container", "type", "union", None),
-        (rf"^\s*{_DEF}enum\s+(?:class\s+|struct\s+)?{_N}[^;(){{}}]*\{{", "Container", "type", "enum", None),
-        (rf"^\s*using\s+{_N}\s*=|^\}}\s*{_N.replace('?P<n>', '?P<m>')}\s*;", "Container", "type", "alias", None),
-        (rf"^\s*typedef\s+(?:struct\s+)?[^;{{}}()]+?[\s*]{_N}\s*;", "Container", "type", "alias", None),
-        (rf"^\s*(?!(?:return|else|if|for|while|switch|case|new|delete|throw|do)\b)(?:[\w:<>,~*&]+\s+)*?[*&]*(?:(?P<o>\w+)::)?(?P<n>~?\w+|operator\s*\S+)\s*\([^;{{}}]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{{]*)?\{{", "Callable", "function", None, None),
-        (rf"^\s*{_DEF}(?!(?:return|using|typedef|friend|case|goto)\b)[\w:<>,\s*&]+?[\s*&]{_N}\s*(?:\[[^\]]*\])?\s*(?:=[^;\n]*)?;", "Data", "field", None, "struct class union"),
-        (rf"^\s*{_N}\s*(?:=[^,\n]*)?,?\s*$", "Data", "constant", None, "enum"),
+        (rf"^[ \t]*{_DEF}(?:inline\s+)?namespace\s+{_N}", "Container", "namespace", None, None),
+        (rf"^[ \t]*(?:template\s*<[^\n]*>\s*)?{_DEF}class\s+{_N}[^;(){{}}]{{0,2000}}\{{", "Container", "type", "class", None),
+        (rf"^[ \t]*(?:template\s*<[^\n]*>\s*)?{_DEF}struct\s+{_N}[^;(){{}}]{{0,2000}}\{{", "Container", "type", "struct", None),
+        (rf"^[ \t]*{_DEF}union\s+{_N}\s*\{{", "Container", "type", "union", None),
+        (rf"^[ \t]*{_DEF}enum\s+(?:class\s+|struct\s+)?{_N}[^;(){{}}]{{0,2000}}\{{", "Container", "type", "enum", None),
+        (rf"^[ \t]*using\s+{_N}\s*=|^\}}\s*{_N.replace('?P<n>', '?P<m>')}\s*;", "Container", "type", "alias", None),
+        (rf"^[ \t]*typedef\s+(?:struct\s+)?[^;{{}}()\n]{{1,500}}?[ \t*]{_N}\s*;", "Container", "type", "alias", None),
+        (rf"^[ \t]*(?!(?:return|else|if|for|while|switch|case|new|delete|throw|do)\b)(?:[\w:<>,~*&]++[ \t]+)*?[*&]*(?:(?P<o>\w+)::)?(?P<n>~?\w+|operator\s*\S+)\s*\([^;{{}}]{{0,2000}}\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{{]{{0,2000}})?\{{", "Callable", "function", None, None),
+        (rf"^[ \t]*{_DEF}(?!(?:return|using|typedef|friend|case|goto)\b)[\w:<>, \t*&]+?[ \t*&]{_N}\s*(?:\[[^\]]*\])?\s*(?:=[^;\n]*)?;", "Data", "field", None, "struct class union"),
+        (rf"^[ \t]*{_N}\s*(?:=[^,\n]*)?,?[ \t]*$", "Data", "constant", None, "enum"),
         (rf"^#\s*define\s+{_N}", "Data", "constant", None, None),
     ],
     "csharp": [
-        (r"^\s*namespace\s+(?P<n>[\w.]+)", "Container", "namespace", None, None),
-        (rf"^\s*{_DEF}class\s+{_N}", "Container", "type", "class", None),
-        (rf"^\s*{_DEF}struct\s+{_N}", "Container", "type", "struct", None),
-        (rf"^\s*{_DEF}record\s+(?:class\s+|struct\s+)?{_N}", "Container", "type", "record", None),
-        (rf"^\s*{_DEF}interface\s+{_N}", "Container", "type", "interface", None),
-        (rf"^\s*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
-        (rf"^\s*(?:public|private|protected|internal)\s+{_N}\s*\([^;{{}}]*\)\s*(?::[^{{;]*)?\{{", "Callable", "constructor", None, "class struct record"),
-        (rf"^\s*{_DEF}(?!(?:return|new|else|if|for|while|switch|using|throw|await)\b)[\w<>\[\],.?]+\s+{_N}\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?:where[^{{;]*)?(?:\{{|=>|;)", "Callable", "method", None, "class struct record interface"),
-        (rf"^\s*{_DEF}[\w<>\[\],.?]+\s+{_N}\s*(?:\{{\s*(?:get|set|init|private|protected)|=>)", "Data", "property", None, "class struct record interface"),
-        (rf"^\s*(?:\w+\s+)*const\s+[\w<>\[\],.?]+\s+{_N}\s*=", "Data", "constant", None, "class struct record"),
-        (rf"^\s*(?:(?:public|private|protected|internal|static|readonly|volatile)\s+)+[\w<>\[\],.?]+\s+{_N}\s*(?:=[^>;][^;]*)?;", "Data", "field", None, "class struct record"),
-        (rf"^\s*{_N}\s*(?:=[^,\n]*)?,?\s*$", "Data", "constant", None, "enum"),
+        (r"^[ \t]*namespace\s+(?P<n>[\w.]+)", "Container", "namespace", None, None),
+        (rf"^[ \t]*{_DEF}class\s+{_N}", "Container", "type", "class", None),
+        (rf"^[ \t]*{_DEF}struct\s+{_N}", "Container", "type", "struct", None),
+        (rf"^[ \t]*{_DEF}record\s+(?:class\s+|struct\s+)?{_N}", "Container", "type", "record", None),
+        (rf"^[ \t]*{_DEF}interface\s+{_N}", "Container", "type", "interface", None),
+        (rf"^[ \t]*{_DEF}enum\s+{_N}", "Container", "type", "enum", None),
+        (rf"^[ \t]*(?:public|private|protected|internal)\s+{_N}\s*\([^;{{}}]{{0,2000}}\)\s*(?::[^{{;]{{0,2000}})?\{{", "Callable", "constructor", None, "class struct record"),
+        (rf"^[ \t]*{_DEF}(?!(?:return|new|else|if|for|while|switch|using|throw|await)\b)[\w<>\[\],.?]+\s+{_N}\s*(?:<[^>]*>)?\([^;{{}}]{{0,2000}}\)\s*(?:where[^{{;]*)?(?:\{{|=>|;)", "Callable", "method", None, "class struct record interface"),
+        (rf"^[ \t]*{_DEF}[\w<>\[\],.?]+\s+{_N}\s*(?:\{{\s*(?:get|set|init|private|protected)|=>)", "Data", "property", None, "class struct record interface"),
+        (rf"^[ \t]*(?:\w+\s+)*const\s+[\w<>\[\],.?]+\s+{_N}\s*=", "Data", "constant", None, "class struct record"),
+        (rf"^[ \t]*(?:(?:public|private|protected|internal|static|readonly|volatile)\s+)+[\w<>\[\],.?]+\s+{_N}\s*(?:=[^>;][^;]*)?;", "Data", "field", None, "class struct record"),
+        (rf"^[ \t]*{_N}\s*(?:=[^,\n]*)?,?[ \t]*$", "Data", "constant", None, "enum"),
     ],
     "python": [
-        (rf"^\s*class\s+{_N}", "Container", "type", "class", None),
-        (rf"^\s*(?:async\s+)?def\s+{_N}", "Callable", "function", None, None),
+        (rf"^[ \t]*class\s+{_N}", "Container", "type", "class", None),
+        (rf"^[ \t]*(?:async\s+)?def\s+{_N}", "Callable", "function", None, None),
     ],
 }
 _FAMILY = {"javascript": "js", "typescript": "js", "tsx": "js", "cpp": "c"}
 _KEYWORDS = frozenset("if for while switch catch return function new typeof sizeof else do match loop fn func def class struct enum impl await yield throw in of and or not using lock foreach case defer go select assert print super this self as mod use pub let const var static delete when base get set".split())
-_CALL = re.compile(r"(?<![\w$.])(?:new\s+)?(?:[\w$]+(?:\.|::|->))*([A-Za-z_$][\w$]*)\s*(!?)\s*\(")
+_CALL = re.compile(r"(?<![\w$.])(?:new\s+)?(?:[\w$]++(?:\.|::|->))*+([A-Za-z_$][\w$]*+)[ \t]*+(!?)[ \t]*+\(")
 _TYPE = re.compile(r"\b(?:extends|implements|new|impl(?:<[^>]*>)?|:\s*public|:\s*private)\s+([A-Z][\w$]*)")
-_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b(?:<[^{]*?>)?\s*(?:[\w:<>, ']+?\s+for\s+)?(?P<n>[A-Za-z_]\w*)", re.M)
+_IMPL = re.compile(r"^[ \t]*(?:unsafe\s+)?impl\b(?:<[^{]*?>)?\s*(?:[\w:<>, ']+?\s+for\s+)?(?P<n>[A-Za-z_]\w*)", re.M)
 
 
 def _blank(m: re.Match) -> str:
@@ -205,7 +206,7 @@ def _scan(text: str, language: str) -> list[Tag]:
         stop = min(x for x in (stop, eol if eol >= 0 else len(code)) if x >= 0)
         return stop, stop
 
-    found: list[tuple[int, int, int, str, str, str, str | None, str | None, str | None]] = []
+    found: list[tuple[int, int, int, str, str, str, str | None, str | None, str | None, int]] = []
     for pattern, node_type, kind, subtype, where in _RULES[family]:
         for m in re.finditer(pattern, code, re.M):
             group = "n" if m.groupdict().get("n") else "m"
@@ -215,13 +216,13 @@ def _scan(text: str, language: str) -> list[Tag]:
             body, end = end_of(m.end() - 1 if m[0].rstrip().endswith(("{", ";")) else m.end()) if node_type != "Data" and subtype != "alias" and where != "interface" else (m.end(), m.end())
             if family == "python" or (family == "go" and kind == "module") or (family == "csharp" and kind == "namespace" and ";" in code[m.end() : m.end() + 2]):
                 end = len(code) - 1 if family != "python" else _indent_end(code, m.start())
-            found.append((m.start(group), body, end, name, node_type, kind, subtype, where, m.groupdict().get("o")))
+            found.append((m.start(group), body, end, name, node_type, kind, subtype, where, m.groupdict().get("o"), m.start()))
     impls = [(*end_of(m.end()), m["n"]) for m in _IMPL.finditer(code)] if family == "rust" else []
     found.sort(key=lambda f: (f[0], -f[2], f[7] is not None))
     out: list[Tag] = []
     open_: list[tuple[int, int, str, str, str]] = []  # end, body, kind, subtype, name
     taken: set[int] = set()
-    for pos, body, end, name, node_type, kind, subtype, where, owner in found:
+    for pos, body, end, name, node_type, kind, subtype, where, owner, start in found:
         while open_ and open_[-1][0] < pos:
             open_.pop()
         around = (open_[-1][3] or open_[-1][2]) if open_ and open_[-1][1] < pos else "file"
@@ -239,7 +240,8 @@ def _scan(text: str, language: str) -> list[Tag]:
             kind = "constructor"
         taken.add(pos)
         line = line_of(pos)
-        out.append(Tag(name, node_type, kind, subtype, line, (line, line_of(max(pos, end))), owner=owner, head=lines[line - 1].strip()))
+        marks, head = _marks(lines, line_of(start), family, text[start : text.find("\n", pos) if "\n" in text[pos:] else len(text)])
+        out.append(Tag(name, node_type, kind, subtype, line, (line, line_of(max(pos, end))), owner=owner, decorators=marks, head=head))
         if node_type != "Data" and end > pos:
             open_.append((end, body, kind, subtype or "", name))
         if node_type == "Callable" and family in ("js", "c") and code[body : body + 1] == "{":
@@ -260,6 +262,35 @@ def _scan(text: str, language: str) -> list[Tag]:
     return out
 
 
+_MARK = {"js": re.compile(r"@([\w.]+)(?:\((?:[^()]|\([^()]*\))*\))?\s*"), "rust": re.compile(r"#!?\[\s*([\w:]+)[^\]\n]*\]\s*"), "csharp": re.compile(r"\[\s*(?:\w+:\s*)?([\w.]+)[^\]\n]*\]\s*")}
+
+
+def _marks(lines: list[str], line: int, family: str, head: str) -> tuple[tuple[str, ...], str]:
+    """Decorators or attributes of a declaration that begins on a line, those above it and its own, and its head without them."""
+    mark, out = _MARK.get(family), []
+    if mark is None:
+        return (), " ".join(head.split())
+    head = head.lstrip()
+    own = []
+    while m := mark.match(head):
+        own.append(m[1])
+        head = head[m.end() :]
+    i, below = line - 2, ""
+    while i >= 0 and line - i < 60:
+        t = lines[i].strip()
+        whole = f"{t} {below}".strip()
+        if t.startswith(("@", "#[", "[")) and (names := [m[1] for m in mark.finditer(whole)]) and not mark.sub("", whole):
+            out, below = [*names, *out], ""
+        elif t.startswith(("//", "*", "/*")) and not below:
+            pass
+        elif family == "js" and (below or t in (")", "})", "]})")):  # the last lines of a decorator's arguments
+            below = whole
+        else:
+            break
+        i -= 1
+    return tuple(out + own), " ".join(head.split())
+
+
 def _indent_end(code: str, start: int) -> int:
     """Where the block of an indented definition ends."""
     first = re.compile(r"[ \t]*").match(code, code.rfind("\n", 0, start + 1) + 1 if code[start : start + 1] != "\n" else start + 1)
@@ -305,6 +336,7 @@ def build_file(path: str, text: str, language: str) -> tuple[list[dict], list[di
     edges, refs, seen = [], [], {path}
     stack: list[tuple[int, str, str]] = []  # last line, id, name
     tags = extract(text, language)
+    every = text.split("\n")
     spans = []
     by_name = {}
     for seq, t in enumerate(tags):
@@ -325,7 +357,7 @@ def build_file(path: str, text: str, language: str) -> tuple[list[dict], list[di
         seen.add(id_)
         if t.node_type == "Container":
             by_name.setdefault(t.name, id_)
-        nodes.append({"id": id_, "name": t.name, "node_type": t.node_type, "kind": t.kind, "subtype": t.subtype, "line": t.line, "end_line": t.line, "span": t.span, "metadata": metadata(t, language), "seq": seq})
+        nodes.append({"id": id_, "name": t.name, "node_type": t.node_type, "kind": t.kind, "subtype": t.subtype, "line": t.line, "end_line": t.line, "span": t.span, "metadata": metadata(t, language), "seq": seq, "text": every[t.line - 1].rstrip("\r") if t.line <= len(every) else ""})
         edges.append((parent, id_, "CONTAINS"))
         if t.node_type == "Data":
             if parent != path:
@@ -333,10 +365,16 @@ def build_file(path: str, text: str, language: str) -> tuple[list[dict], list[di
         else:
             stack = [*around, (t.span[1], id_, t.name)]
             spans.append((t.span[0], t.span[1], id_))
-    for t in tags:
-        if t.definition:
-            continue
-        cover = [s for s in spans if s[0] <= t.line <= s[1]]
-        source = min(cover, key=lambda s: (s[1] - s[0], -s[0]))[2] if cover else path
-        refs.append((t.name, source, t.line))
+    # the narrowest span around each reference: spans open in order, the narrowest open one is on top
+    spans.sort(key=lambda s: s[0])
+    live: list[tuple[int, int, int, int, str]] = []
+    i = 0
+    for t in sorted((t for t in tags if not t.definition), key=lambda t: t.line):
+        while i < len(spans) and spans[i][0] <= t.line:
+            first, last, id_ = spans[i]
+            heapq.heappush(live, (last - first, -first, i, last, id_))
+            i += 1
+        while live and live[0][3] < t.line:
+            heapq.heappop(live)
+        refs.append((t.name, live[0][4] if live else path, t.line))
     return nodes, edges, sorted(set(refs))

@@ -34,12 +34,20 @@ def scan(spark: SparkSession, root: str, rules: str | None = None, exclude: tupl
             if found[1] not in chains[-1:]:
                 chains.append(found[1])
             rows.append((found[0], len(chains) - 1, 0))
-    ship(spark)
-    n = 4 * spark.sparkContext.defaultParallelism
-    first = spark.createDataFrame(rows, "path string, rules int, size long").repartition(min(n, max(1, len(rows))), "path")
-    listed = first.mapInArrow(walk.lister(root, chains, skip), "path string, size long")
+    most = 4 * ship(spark).sparkContext.defaultParallelism
+    first = spark.createDataFrame(rows, "path string, rules int, size long")
+    if not chains:  # all of it is listed
+        return read(first, root, min(most, 1 + len(rows) // 100 + sum(r[2] for r in rows) // walk.BATCH_BYTES))
+    listed = first.repartition(min(most, len(rows)), "path").mapInArrow(walk.lister(root, chains, skip), "path string, size long")
+    return read(listed, root)
+
+
+def read(listed: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """(path, content, n_bytes) of the files of a table with a column path."""
+    spark = ship(listed.sparkSession)
     # a fixed number of tasks: to AQE these rows are nothing, but their files are not
-    return listed.repartition(n, "path").mapInArrow(walk.reader(root), "path string, content binary, n_bytes long")
+    own = listed.select("path").repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "path")
+    return own.mapInArrow(walk.reader(root), "path string, content binary, n_bytes long")
 
 
 def sources(files: DataFrame) -> DataFrame:

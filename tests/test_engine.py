@@ -9,6 +9,7 @@ from lattica.operators import changes, constraints
 from lattica.plans.engine import Engine, NotFound, Workspaces
 from lattica.plans import build
 from lattica.sources import tree
+from lattica.sources.store import Store
 
 FILES = {
     "app/main.py": "import util\n\nLIMIT = 3\n\n\nclass Runner(Base):\n    def __init__(self, size):\n        self.size = size\n\n    def run(self):\n        return helper(LIMIT)\n\n\ndef start():\n    Runner(1).run()\n",
@@ -111,6 +112,53 @@ def test_build_query_update(spark, root, tmp_path):
     assert not e.needs_reindex() and all(s != "fail" for _, s, _ in e.doctor())
 
 
+def test_update_writes_little(spark, tmp_path):
+    """One changed file of many: what is written, what readers see meanwhile, and what a rebuild gives."""
+    top = tmp_path / "many"
+    for i in range(400):
+        f = top / f"d{i % 20}/m{i}.py"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(f"class C{i}:\n" + "".join(f"    def f{i}_{j}(self, a):\n        return f{(i + 1) % 400}_{j}(a)\n\n" for j in range(12)))
+    e = Engine(spark, str(top), str(tmp_path / "store"))
+    e.rebuild()
+    whole = {n: s[0]["rows"] for n, s in e.store._pointer()["tables"].items()}
+    nodes_before = e.nodes
+    n = nodes_before.count()
+    (top / "d3/m3.py").write_text("class C3:\n    def f3_0(self, a):\n        return f9_1(a)\n\n    def new(self):\n        return f3_0(1)\n")
+    assert e.update()["n_modified"] == 1
+    assert nodes_before.count() == n  # a reader of the version before
+    after = e.store._pointer()["tables"]
+    size = lambda p: sum(f.stat().st_size for f in (tmp_path / "store" / p).rglob("*.parquet"))
+    assert all(s[0]["rows"] == whole[t] and len(s) == 2 for t, s in after.items())
+    assert sum(size(s[1]["rows"]) + size(s[1]["gone"]) for s in after.values()) < 0.05 * sum(map(size, whole.values()))
+    fresh = Engine(spark, str(top), str(tmp_path / "other"))
+    fresh.rebuild()
+    assert _rows(e.nodes) == _rows(fresh.nodes) and _rows(e.edges) == _rows(fresh.edges)
+
+
+def test_store_changes(spark, tmp_path):
+    """Partitions rewritten, rows appended and deleted, several tables at once, many small changes, old versions."""
+    s = Store(spark, str(tmp_path / "s"))
+    edge = lambda *rows: spark.createDataFrame([(a, b, "USES", p, q) for a, b, p, q in rows], "source string, target string, edge_type string, src_partition string, dst_partition string")
+    show = lambda: sorted((r.source, r.target) for r in s.read("edges").collect())
+    s.write("edges", edge(("a", "b", "p", "p"), ("a", "c", "p", "q"), ("d", "a", "q", "p")))
+    s.append("edges", edge(("e", "a", "r", "p")))
+    assert show() == [("a", "b"), ("a", "c"), ("d", "a"), ("e", "a")]
+    assert s.delete("edges", "source", ["a", "nobody"]) == 2 and show() == [("d", "a"), ("e", "a")] and s.delete("edges", "source", ["a"]) == 0
+    s.append("edges", edge(("a", "z", "p", "p")))  # back again after it was deleted
+    s.rewrite("edges", "dst_partition", ["p"], edge(("f", "g", "q", "p")))
+    assert show() == [("f", "g")]
+    for i in range(10):
+        s.append("edges", edge((f"n{i}", "x", "p", "p")))
+    assert len(show()) == 11 and len(s._pointer()["tables"]["edges"]) < 10 and len(s._numbers()) <= 3
+    assert s.meta("k", "v") == "v" and s.drop("edges") and not s.exists("edges") and not s.drop("edges")
+    old = tmp_path / "old"
+    old.mkdir()
+    edge(("a", "b", "p", "p")).write.parquet(str(old / "edges-1"))
+    (old / "_versions.json").write_text(json.dumps({"schema_version": "1.1", "tables": {"edges": "edges-1"}, "meta": {"k": "w"}}))
+    assert Store(spark, str(old)).read("edges").count() == 1 and Store(spark, str(old)).meta("k") == "w"
+
+
 def test_workspaces(spark, root, tmp_path):
     w = Workspaces(spark, str(tmp_path / "registry.json"))
     w.register("one", str(root))
