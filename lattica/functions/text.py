@@ -49,19 +49,47 @@ SCOPES = {"test": "testing", "benchmark": "performance", "example": "documentati
 PREVIEW = 300
 
 
+_AUTOMATON: list = []
+
+
+def keywords_of(text: str) -> list[str]:
+    """Keywords whose triggers stand in a lower-cased text."""
+    if not _AUTOMATON:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for w in _TRIGGERS_OF:
+            a.add_word(w, _TRIGGERS_OF[w])
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    out: set[str] = set()
+    for _, ks in _AUTOMATON[0].iter(text):
+        out.update(ks)
+        if len(out) == len(KEYWORDS):
+            break
+    return sorted(out)
+
+
+_TRIGGERS_OF: dict[str, tuple[str, ...]] = {}
+for _k, _ws in KEYWORDS.items():
+    for _w in _ws.split():
+        _TRIGGERS_OF[_w] = (*_TRIGGERS_OF.get(_w, ()), _k)
+
+
 def keywords(name: Column, content: Column, scope: Column | None = None) -> Column:
-    """Sorted keywords that the lower-cased name or content, or the scope, calls for."""
-    n, c = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
-    found = []
-    for word, triggers in KEYWORDS.items():
-        pattern = "|".join(triggers.split())
-        on = n.rlike(pattern) | c.rlike(pattern)
-        if scope is not None:
-            on = on | F.coalesce(scope.isin([s for s, k in SCOPES.items() if k == word]), F.lit(False))
-        found.append(F.when(on, F.lit(word)))
+    """Sorted keywords that the lower-cased name or content, or the scope, calls for. One automaton looks for all triggers at once."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(keywords_of)
+
+    found = run(F.concat_ws("\n", F.lower(name), F.lower(content)))
     if scope is not None:
-        found += [F.when(scope == s, F.lit(k)) for s, k in SCOPES.items() if k not in KEYWORDS]
-    return F.array_sort(F.array_compact(F.array(*found)))
+        extra = F.when(scope == "test", F.array(F.lit(SCOPES["test"])))
+        for s in [x for x in SCOPES if x != "test"]:
+            extra = extra.when(scope == s, F.array(F.lit(SCOPES[s])))
+        found = F.array_sort(F.array_union(found, F.coalesce(extra, F.array().cast("array<string>"))))
+    return found
 
 
 def parameters(content: Column) -> Column:

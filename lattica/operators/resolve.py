@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,15 +27,50 @@ def resolve_references(references: DataFrame, definitions: DataFrame, nodes: Dat
     return hit.select(F.col("source_id").alias("source"), "target", F.lit("USES").alias("edge_type"), F.col("line").alias("ref_line"), F.col("name").alias("ident"), *(["file"] if "file" in references.columns else [])).distinct()
 
 
-def enclosing(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
-    """Points (point_id, file, line) with the narrowest span (span_id, file, start_line, end_line) of their file that covers them; null if none does. Ties go to the later start, then to the smaller id.
-
-    A span is put in every bucket of lines that it touches, so the join is an equality and reads no more pairs than share a bucket."""
-    s = spans.select("span_id", F.col("file").alias("_f"), "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))).alias("_b")).where("start_line <= end_line")
-    p = points.withColumn("_pb", F.floor(F.col("line") / bucket))
-    cover = (F.col("file") == F.col("_f")) & (F.col("_pb") == F.col("_b")) & (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line"))
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), (-F.col("start_line")).alias("s"), "span_id"))
-    return p.join(s, cover, "left").groupBy("point_id", "file", "line").agg(best.alias("_best")).select("point_id", "file", "line", F.col("_best.span_id").alias("span_id"))
+#: Lines of a file that one group of `enclosing` covers.
+STRIP = 4096
+
+
+def _sweep(points: list[int], spans: list[tuple[int, int, object]]) -> list[object]:
+    """For each of the points, ascending, the id of the narrowest of the spans (start, end, id), ascending, that cover it; of equal ones that of the later start, then the smaller id."""
+    out, live, i = [], [], 0
+    for p in points:
+        while i < len(spans) and spans[i][0] <= p:
+            start, end, id_ = spans[i]
+            heapq.heappush(live, (end - start, -start, id_, end))
+            i += 1
+        while live and live[0][3] < p:  # it covers no later point either
+            heapq.heappop(live)
+        out.append(live[0][2] if live else None)
+    return out
+
+
+def enclosing(points: DataFrame, spans: DataFrame, strip: int = STRIP) -> DataFrame:
+    """Points (point_id, file, line) with the narrowest span (span_id, file, start_line, end_line) of their file that covers them; null if none does. Ties go to the later start, then to the smaller id. Points without file or line, and spans without file or an end, match nothing.
+
+    Equal lines and equal spans are first made one, so that what is compared does not depend on how many rows a place has. A span that reaches over whole strips of lines is put in each of them only if no narrower one does as well, the others where they begin and end; a strip of a file is swept once, in order of lines."""
+    kind = spans.schema["span_id"].dataType.simpleString()
+    low, high = F.floor(F.col("start_line") / strip), F.floor(F.col("end_line") / strip)
+    own = spans.where("file is not null and start_line <= end_line").groupBy("file", "start_line", "end_line").agg(F.min("span_id").alias("span_id"))
+    own = own.select("*", F.explode(F.sequence(low, high)).alias("_b"))
+    # of the spans over all of a strip only the best can be an answer there
+    inside = (F.col("start_line") > F.col("_b") * strip) | (F.col("end_line") < (F.col("_b") + 1) * strip - 1)
+    best = F.min_by(F.struct("start_line", "end_line", "span_id"), F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), "span_id"))
+    over = own.where(~inside).groupBy("file", "_b").agg(best.alias("_s")).select("file", "_b", "_s.*")
+    s = own.where(inside).select("file", "_b", "start_line", "end_line", "span_id").unionByName(over)
+    p = points.where("file is not null and line is not null").select("file", F.col("line").cast("long").alias("line")).distinct()
+    rows = s.select("file", "_b", F.col("start_line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end"), "span_id", F.lit(False).alias("_p"))
+    rows = rows.unionByName(p.select("file", F.floor(F.col("line") / strip).alias("_b"), "line", F.lit(0).cast("long").alias("end"), F.lit(0).cast(kind).alias("span_id"), F.lit(True).alias("_p")))
+
+    def run(key, rows):
+        at = rows.loc[rows["_p"], "line"].sort_values()
+        ordered = rows[~rows["_p"]].sort_values(["line", "end"])
+        found = _sweep([int(x) for x in at], [(int(a), int(b), c) for a, b, c in zip(ordered["line"], ordered["end"], ordered["span_id"], strict=True)])
+        return pd.DataFrame({"file": key[0], "line": at.to_numpy(), "span_id": pd.Series(found, dtype=object)})
+
+    hit = rows.groupBy("file", "_b").applyInPandas(run, f"file string, line long, span_id {kind}").where("span_id is not null")
+    found = hit.select(F.col("file").alias("_f"), F.col("line").alias("_l"), "span_id")
+    return points.join(found, (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").select("point_id", "file", "line", "span_id")
 
 
 def matches_pattern(directory: str, pattern: str, base: str):
