@@ -123,6 +123,11 @@ def partition_id(root: Column, path: Column) -> Column:
     return F.concat(root, F.lit("_"), F.coalesce(F.nullif(directory(path), F.lit("")), F.lit("root")))
 
 
+def safe_name(partition: Column) -> Column:
+    """A partition id as a file name: slashes, backslashes and colons become underscores."""
+    return F.regexp_replace(partition, r"[/\\:]", "_")
+
+
 def file_of_node(node_id: Column) -> Column:
     """The file part of a node id: all up to the first colon."""
     return F.substring_index(node_id, ":", 1)
@@ -241,6 +246,19 @@ def memory_estimate(nodes: Column, edges: Column, node_size: int = 512, edge_siz
     return F.floor((nodes * node_size + edges * edge_size) * F.lit(overhead)).cast("long")
 
 
+def needed_bytes(budget: Column, used: Column, wanted: Column) -> Column:
+    """Bytes that must be freed so that `wanted` more fit into a budget."""
+    return F.greatest(used + wanted - budget, F.lit(0))
+
+
+def is_empty_metadata(metadata: Column, fields: tuple[str, ...]) -> Column:
+    """Whether none of the fields says anything."""
+    out = F.lit(True)
+    for f in fields:
+        out = out & metadata[f].isNull()
+    return out
+
+
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB."""
     show = lambda f, unit: F.concat(F.format_number(n / f, 2), F.lit(unit))

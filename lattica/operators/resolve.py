@@ -121,6 +121,13 @@ def affected(files: DataFrame, components: DataFrame, by_directory: bool = True)
     return files.select("path", F.explode(above).alias("_dir")).join(at, F.col("_dir") == F.col("directory")).select("path", "node_id")
 
 
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
+    """left with `value` of the last row of right, with the same `by`, at or before its time; null if there is none. Of several at that time the largest value counts. Rows are merged in one ordered pass of each group of `by`."""
+    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(*by, time, F.lit(0).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(time, "_side", F.col("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, value)
+
+
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row of each key: the last in the given order."""
     w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])

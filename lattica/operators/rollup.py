@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import paths
+from ..sources.shared import cut
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,6 +61,13 @@ def tree_stats(paths: DataFrame, path: str = "path") -> DataFrame:
     return files.crossJoin(dirs)  # one row each
 
 
+def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n_partitions, n_files, n_nodes, n_edges, n_cross, n_bytes) of a stored graph, in one row; n_bytes is what it takes in memory."""
+    n = nodes.agg(F.countDistinct("partition_id").alias("n_partitions"), F.countDistinct("file").alias("n_files"), F.count("*").alias("n_nodes"))
+    e = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("src_partition") != F.col("dst_partition")).alias("n_cross"))
+    return n.crossJoin(e).withColumn("n_bytes", paths.memory_estimate(F.col("n_nodes"), F.col("n_edges")))  # one row each
+
+
 def hit_rate(accesses: DataFrame) -> DataFrame:
     """(hits, misses, rate) of a table with a boolean `hit`; the rate of no accesses is 0."""
     h, m = F.count_if("hit"), F.count_if(~F.col("hit"))
@@ -63,8 +76,9 @@ def hit_rate(accesses: DataFrame) -> DataFrame:
 
 def evictions(entries: DataFrame, needed: int, keep: int = 2) -> DataFrame:
     """(id, n_bytes): the least recently used entries (id, last_access, n_bytes) until `needed` bytes are free; the `keep` most recent always stay."""
-    ranked = entries.selectExpr("id", "n_bytes", "coalesce(sum(n_bytes) over (order by last_access, id rows between unbounded preceding and 1 preceding), 0) as freed", "row_number() over (order by last_access desc, id desc) as recent")
-    return ranked.where((F.col("freed") < needed) & (F.col("recent") > keep)).select("id", "n_bytes")
+    recent = entries.select("id", "last_access").orderBy(F.desc("last_access"), F.desc("id")).limit(keep).select("id")
+    ranked = running_sums(entries, ["last_access", "id"], "n_bytes", "_freed")
+    return ranked.where(F.col("_freed") < needed).join(recent, "id", "left_anti").select("id", "n_bytes")
 
 
 def worst_status(checks: DataFrame) -> DataFrame:
@@ -74,6 +88,27 @@ def worst_status(checks: DataFrame) -> DataFrame:
     return checks.agg(*count, F.coalesce(F.element_at(F.array(F.lit("pass"), F.lit("warn"), F.lit("fail")), worst + 1), F.lit("pass")).alias("overall"))
 
 
+def stale(nodes: Column, points: Column) -> Column:
+    """is_stale of two columns."""
+    return F.abs(nodes - points) > F.floor(nodes / 10)
+
+
+def merged_stats(*stats: DataFrame) -> DataFrame:
+    """Counts (metric, name, n) of several graphs, summed."""
+    return reduce(DataFrame.unionByName, stats).groupBy("metric", "name").agg(F.sum("n").alias("n"))
+
+
+def running_sums(rows: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows before, in order, range by range: no task orders all of them. rows must be a stored table."""
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)
+    # one row a range
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_all"))
+    before = parts.select("_part", F.coalesce(F.expr("sum(_all) over (order by _part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0))).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def is_stale(n_nodes: int, n_points: int) -> bool:
     """Whether an index is off by more than a tenth."""
     return abs(n_nodes - n_points) > n_nodes // 10

@@ -1,12 +1,14 @@
 """Simple paths, reachability and cycles, as depth-bounded joins.
 
-Each step is a join of a frontier with the edges; the frontier is written to the
-shared folder every few steps, so that the plan stays short and lost executors
-cost no more than those steps.
+Each step is a join of a frontier with the edges. A frontier is written to the
+shared folder (of chains every few steps), so that plans stay short and lost
+executors cost no more than those steps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +47,17 @@ def chains(edges: DataFrame, starts: DataFrame, depth: int = 3, edge_types: list
 def reachable(edges: DataFrame, starts: DataFrame, edge_types: list[str] | None = None, upstream: bool = False, depth: int | None = None) -> DataFrame:
     """(start, id, depth): nodes within `depth` links of each start, or any number, with the least number."""
     links = _links(edges, edge_types, upstream)
-    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
-    frontier, step = seen, 0
-    while depth is None or step < depth:
-        step += 1
-        new = frontier.join(links, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id")).distinct().join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(step))
-        if depth is None or step % EVERY == 0:
-            new = cut(new)
-            if depth is None and new.isEmpty():
-                break
-        seen = seen.unionByName(new)
-        if depth is None or step % EVERY == 0:
-            seen = cut(seen)
-        frontier = new
-    return seen
+    first = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
+    links = cut(links)
+    # every step is a table of its own; what was seen is the union of them, never written again
+    steps = [cut(first)]
+    while depth is None or len(steps) <= depth:
+        seen = reduce(DataFrame.unionByName, steps).select("start", "id")
+        new = cut(steps[-1].join(links, F.col("id") == F.col("_from")).select("start", F.col("_to").alias("id")).distinct().join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(len(steps))))
+        if new.isEmpty():
+            break
+        steps.append(new)
+    return reduce(DataFrame.unionByName, steps)
 
 
 def dependencies(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool = False) -> DataFrame:

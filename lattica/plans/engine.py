@@ -243,11 +243,12 @@ class Engine:
         hit = resolve.affected(self.spark.createDataFrame([(p,) for p in changed], "path string"), c, by_directory)
         return traverse.reachable(self.edges, hit.select(F.col("node_id").alias("id")).distinct(), ["DEPENDS_ON"], upstream=True).select("id").distinct()
 
-    def component_graph(self, form: str = "dot") -> str:
-        """Components and their dependencies, drawn; there is a row for every manifest of the workspace."""
+    def component_graph(self, form: str = "dot", include: list[str] | None = None, exclude: list[str] | None = None) -> str:
+        """Components and their dependencies, drawn; there is a row for every manifest of the workspace. Only between components of the names in include, if given, and not of those in exclude."""
         names = self.components().select("id", "name")
         e = self.edges.where("edge_type = 'DEPENDS_ON'").join(names.toDF("source", "a"), "source").join(names.toDF("target", "b"), "target")
-        return traverse.draw([(r.a, r.b) for r in e.select("a", "b").distinct().collect()], form)
+        keep = lambda a, b: (not include or (a in include and b in include)) and not (exclude and (a in exclude or b in exclude))
+        return traverse.draw([(r.a, r.b) for r in e.select("a", "b").distinct().collect() if keep(r.a, r.b)], form)
 
     # Health
 

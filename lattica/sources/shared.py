@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the program ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
 @contextlib.contextmanager
 def scope() -> Iterator[None]:
     """What is cut inside is removed at the end; for work whose results are written elsewhere."""
