@@ -1,6 +1,7 @@
 """Operators and column functions on small inputs, and against plain Python on random graphs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -264,3 +265,52 @@ def test_streams(spark, tmp_path):
     sync.apply_changes(s, lambda d, n: seen.extend(d.collect()), ["user_id"], ["ts"], str(tmp_path / "ck")).awaitTermination()
     assert {r.user_id: r.event_id for r in seen} == {0: 27, 1: 28, 2: 29}
     assert sync.sessions(df, "2 minutes").count() >= 3
+
+
+def test_decorators_and_attributes():
+    ts = "@Component({\n  selector: 'x',\n})\nexport class Foo extends Bar {\n  @Input() name: string;\n  @HostListener('click')\n  private async onClick(e: Event): Promise<void> { this.go(e); }\n}\n"
+    rs = "/// doc\n#[derive(Debug, Clone)]\npub struct P { pub x: i32 }\n#[test]\nfn works() { helper(); }\nimpl P { #[inline] pub fn new() -> P { P { x: 1 } } }\n"
+    cs = "namespace N {\n  [Serializable]\n  public class C {\n    [Obsolete(\"x\")]\n    public static\n    void M(int a) { G(); }\n    [Key] public int Id { get; set; }\n  }\n}\n"
+    found = {(t.name, d, m.get("visibility"), m.get("static"), m.get("async")) for lang, code in (("typescript", ts), ("rust", rs), ("csharp", cs)) for t in extract.extract(code, lang) if t.definition and t.decorators for m in (extract.metadata(t, lang),) for d in t.decorators}
+    assert found >= {("Foo", "Component", None, None, None), ("name", "Input", None, None, None), ("onClick", "HostListener", "private", None, True), ("P", "derive", "public", None, None), ("works", "test", "private", None, None), ("C", "Serializable", "public", None, None), ("M", "Obsolete", "public", True, None), ("Id", "Key", "public", None, None)}
+
+
+@pytest.mark.parametrize(("language", "code", "n"), [("c", "some plain words here and there\n" * 20_000, 0), ("c", "/*" + "\n" * 50_000 + "*/\nint main(void) {\n return f(1);\n}\n", 1), ("csharp", "\n" * 50_000 + "a" * 100_000, 0), ("c", "int t[] = {\n" + "1, 2, 3,\n" * 20_000 + "};\n", 0), ("python", "".join(f"def f{i}(a):\n" + "    g(a)\n" * 20 for i in range(1500)), 1500)])
+def test_large_files_take_time_in_proportion(language, code, n):
+    begin = time.monotonic()
+    nodes, _, refs = extract.build_file("x", code, language)
+    assert time.monotonic() - begin < 20 and sum(x["node_type"] == "Callable" for x in nodes) == n
+
+
+def test_enclosing_span_of_references():
+    """The narrowest declaration around each call, also where blocks end and begin on one line."""
+    code = "def a():\n    x()\n    def b():\n        y()\n    z()\n\nclass C:\n    def d(self): w()\n    v()\n\nu()\n"
+    refs = extract.build_file("f.py", code, "python")[2]
+    assert {(n, s) for n, s, _ in refs} == {("x", "f.py:a"), ("y", "f.py:a:b"), ("z", "f.py:a"), ("w", "f.py:C:d"), ("v", "f.py:C"), ("u", "f.py")}
+
+
+@pytest.mark.parametrize("strip", [4, 16, 4096])
+def test_enclosing_in_strips(spark, strip):
+    r = random.Random(8)
+    spans = [(i, r.choice("fg"), a, a + r.choice([0, 1, 3, 9, 40, 200])) for i in range(120) for a in (r.randrange(150),)] + [(200, None, 1, 9), (201, "f", 9, 1)]
+    points = [(i, r.choice("fgh"), r.randrange(-5, 260)) for i in range(200)] + [(900, None, 3), (901, "f", None)]
+    got = {x.point_id: x.span_id for x in resolve.enclosing(spark.createDataFrame(points, "point_id long, file string, line int"), spark.createDataFrame(spans, "span_id long, file string, start_line int, end_line int"), strip).collect()}
+    for i, f, line in points:
+        cover = [(b - a, -a, s) for s, g, a, b in spans if line is not None and f is not None and g == f and a <= line <= b]
+        assert got[i] == (min(cover)[2] if cover else None)
+
+
+def test_as_of_join(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 3)], "i int, k string, t int")
+    right = spark.createDataFrame([("a", 3, 30), ("a", 5, 50), ("a", 5, 51), ("a", 6, 60), ("b", 9, None), (None, 1, 7)], "k string, t int, v int")
+    assert {x.i: x.v for x in resolve.as_of(left, right, ["k"], "t", "v").collect()} == {1: 51, 2: None, 3: None, 4: 7}
+
+
+def test_keywords_equal_patterns():
+    import re
+
+    r = random.Random(4)
+    words = [w for ws in text.KEYWORDS.values() for w in ws.split()] + ["xx", "ing", "co", "un"]
+    for _ in range(200):
+        t = "".join(r.choice(words) + r.choice(["", " ", "_"]) for _ in range(r.randrange(6)))
+        assert text.keywords_of(t) == sorted(k for k, ws in text.KEYWORDS.items() if re.search("|".join(ws.split()), t))
