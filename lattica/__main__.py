@@ -13,7 +13,7 @@ from .functions import embed
 from .plans.engine import Engine, NotFound, Workspaces
 from .session import session
 
-DEFAULTS = {"storage": {"path": None}, "search": {"limit": 10, "mode": None, "min_score": 0.0}, "embedding": {"provider": "hashing"}, "analysis": {"exclude": []}, "sync": {"every": "30 seconds"}}
+DEFAULTS = {"storage": {"path": None}, "search": {"limit": 10, "mode": None, "min_score": 0.0}, "embedding": {"provider": "hashing"}, "analysis": {"exclude": [], "rules": None}, "sync": {"every": "30 seconds"}}
 
 
 def merged(a: dict, b: dict) -> dict:
@@ -37,6 +37,30 @@ def config_value(config: dict, key: str):
     return config
 
 
+def set_config(workspace: str, key: str, value: str) -> None:
+    """Set a dotted key in the workspace's file, which is written anew. The value is read as TOML, else taken as text."""
+    path = Path(workspace, ".lattica/config.toml")
+    config = tomllib.loads(path.read_text()) if path.is_file() else {}
+    *parts, last = key.split(".")
+    at = config
+    for part in parts:
+        at = at.setdefault(part, {})
+        if not isinstance(at, dict):
+            raise NotFound(key)
+    try:
+        at[last] = tomllib.loads(f"x = {value}")["x"]
+    except tomllib.TOMLDecodeError:
+        at[last] = value
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(_toml(config))
+
+
+def _toml(table: dict, at: str = "") -> str:
+    plain = "".join(f"{json.dumps(k)} = {json.dumps(v, ensure_ascii=False)}\n" for k, v in table.items() if not isinstance(v, dict))
+    inner = "".join(_toml(v, f"{at}.{json.dumps(k)}" if at else json.dumps(k)) for k, v in table.items() if isinstance(v, dict))
+    return (f"[{at}]\n" if at and plain else "") + plain + inner
+
+
 def _show(df, limit: int | None = None) -> None:
     for row in (df.limit(limit) if limit else df).toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
@@ -84,7 +108,10 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--transitive", action="store_true")
     d.add_argument("--reverse", action="store_true")
     k.add_parser("affected").add_argument("files", nargs="+")
-    k.add_parser("graph").add_argument("--format", default="dot", choices=["dot", "mermaid", "ascii"])
+    h = k.add_parser("graph")
+    h.add_argument("--format", default="dot", choices=["dot", "mermaid", "ascii"])
+    h.add_argument("--include", action="append")
+    h.add_argument("--exclude", action="append")
     w = c.add_parser("workspace").add_subparsers(dest="what", required=True)
     r = w.add_parser("register")
     r.add_argument("name")
@@ -97,12 +124,16 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--dry-run", action="store_true")
     v = c.add_parser("config")
     v.add_argument("key", nargs="?")
+    v.add_argument("value", nargs="?")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     config = load_config(a.workspace)
+    if a.command == "config" and a.value is not None:
+        set_config(a.workspace, a.key, a.value)
+        return 0
     if a.command == "config":
         print(json.dumps(config_value(config, a.key) if a.key else config, indent=1))
         return 0
@@ -120,7 +151,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(json.dumps(x))
         return 0
     options = dict(config["embedding"])
-    e = Engine(spark, os.path.abspath(a.workspace), config["storage"]["path"], provider=embed.provider(options.pop("provider"), **options), exclude=tuple(config["analysis"]["exclude"]))
+    e = Engine(spark, os.path.abspath(a.workspace), config["storage"]["path"], provider=embed.provider(options.pop("provider"), **options), exclude=tuple(config["analysis"]["exclude"]), rules=config["analysis"]["rules"])
     if a.command == "init":
         print(json.dumps(e.rebuild() | e.index()))
     elif a.command == "update":
@@ -166,7 +197,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.what == "affected":
             _show(e.affected(a.files))
         else:
-            print(e.component_graph(a.format))
+            print(e.component_graph(a.format, a.include, a.exclude))
     return 0
 
 

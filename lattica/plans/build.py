@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from . import tables
 ROWS = "row string, id string, name string, node_type string, kind string, subtype string, file string, line int, end_line int, span_start int, span_end int, seq int, meta string, other string, hash string, text string"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], rules: dict | None = None) -> Iterator[pa.RecordBatch]:
     import json
 
     kinds = [pa.int32() if t == "int" else pa.string() for t in (c.split()[1] for c in ROWS.split(", "))]
@@ -27,7 +28,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for path, text, language, hash_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            nodes, edges, refs = extract.build_file(path, text or "", language)
+            nodes, edges, refs = extract.build_file(path, text or "", language, (rules or {}).get(language, ()))
             for n in nodes:
                 rows.append(("node", n["id"], n["name"], n["node_type"], n["kind"], n["subtype"], path, n["line"], n["end_line"], *n["span"], n.get("seq", -1), json.dumps(n["metadata"]), None, hash_ if n["kind"] == "file" else None, n.get("text")))
             for a, b, kind in edges:
@@ -38,11 +39,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
-def extract_files(files: DataFrame) -> DataFrame:
-    """Tagged rows (row: node, edge or ref) of all source files (path, content)."""
+def extract_files(files: DataFrame, rules: dict | None = None) -> DataFrame:
+    """Tagged rows (row: node, edge or ref) of all source files (path, content). rules: more declarations, by language."""
     own = tree.sources(files).select("path", "text", "language", F.sha2("content", 256).alias("hash"))
     ship(files.sparkSession)
-    return own.mapInArrow(_extract, ROWS)
+    return own.mapInArrow(partial(_extract, rules=rules), ROWS)
 
 
 def _node(df: DataFrame, root: str) -> DataFrame:

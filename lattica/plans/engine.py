@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, paths, text
 from ..operators import changes, lookup, resolve, rollup, search, traverse
-from ..sources import tree, walk
+from ..sources import extract, tree, walk
 from ..sources.shared import cut, scope
 from ..sources.store import Store, gone_by
 from . import build, describe
@@ -26,10 +26,11 @@ class NotFound(KeyError):
 
 
 class Engine:
-    """A workspace at `path`, whose tables are in `store`. `name` is its repo_id."""
+    """A workspace at `path`, whose tables are in `store`. `name` is its repo_id, `rules` a folder of rules for more declarations (`extract.load_rules`)."""
 
-    def __init__(self, spark: SparkSession, path: str, store: str | None = None, name: str | None = None, provider: embed.Provider | None = None, exclude: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, path: str, store: str | None = None, name: str | None = None, provider: embed.Provider | None = None, exclude: tuple[str, ...] = (), rules: str | None = None):
         self.spark, self.path, self.exclude = spark, path, exclude
+        self.rules = extract.load_rules(rules) if rules else {}
         self.name = name or re.split(r"[/\\]", path.rstrip("/\\"))[-1]
         self.store = Store(spark, store or f"{path.rstrip('/')}/.lattica")
         self.provider = provider or embed.Hashing()
@@ -61,7 +62,7 @@ class Engine:
             snap = cut(tree.snapshot(files, self.name))
             if snap.limit(1).isEmpty():
                 raise NotFound(f"no files below {self.path}")
-            rows = cut(build.extract_files(files))
+            rows = cut(build.extract_files(files, self.rules))
             return self.store.save_graph(*build.graph(rows, self.name, components=self._components(snap)), snap, {"version": changes.version(snap).first()[0]}, rows=rows)
 
     def _components(self, snap: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ class Engine:
         spark, touched = self.spark, found.select("path")
         gone = lambda *keys: reduce(DataFrame.unionByName, keys)
         by_file = lambda key: touched.select(F.lit(key).alias("key"), F.col("path").alias("value"))
-        fresh = cut(build.extract_files(tree.read(changes.to_process(found), self.path, tasks)))
+        fresh = cut(build.extract_files(tree.read(changes.to_process(found), self.path, tasks), self.rules))
         old = self.store.read("rows")
         kept = old.join(touched, F.col("file") == F.col("path"), "left_anti")
         now = kept.unionByName(fresh)
@@ -370,7 +371,12 @@ class Workspaces:
             out = e.graph_stats() if out is None else out.unionByName(e.graph_stats())
         if out is None:
             return self.spark.createDataFrame([], "metric string, name string, n long")
-        return out.groupBy("metric", "name").agg(F.sum("n").alias("n"))
+        return rollup.merged_stats(out)
+
+    def index_status(self) -> dict:
+        """Counts of vectors summed over the workspaces, and which of them must be indexed again."""
+        found = {n: e.index_status() for n, e in self._ready("nodes")}
+        return {**{p: sum(s[p] for s in found.values()) for p in POINTS}, "workspaces": len(found), "needs_reindex": sorted(n for n, s in found.items() if s["needs_reindex"])}
 
     def node(self, id_: str) -> dict:
         """By a prefixed id, or in the active workspace."""

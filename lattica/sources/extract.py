@@ -11,6 +11,9 @@ from __future__ import annotations
 import ast
 import heapq
 import re
+import tomllib
+from collections.abc import Sequence
+from pathlib import Path
 from typing import NamedTuple
 
 
@@ -27,14 +30,48 @@ class Tag(NamedTuple):
     head: str = ""  # the declaration's own line
 
 
-def extract(text: str, language: str) -> list[Tag]:
-    """Tags in order of their place; broken Python is read by the scanner."""
+class Rule(NamedTuple):
+    """A declaration of a user's own: a pattern, by lines, whose group `n` is the name."""
+
+    pattern: str
+    node_type: str
+    kind: str | None = None
+    subtype: str | None = None
+
+
+def load_rules(folder: str) -> dict[str, list[Rule]]:
+    """Rules by language of all TOML files of a folder, in order of their names: tables [[rule]] with language, pattern, type, and kind and subtype if wanted."""
+    out: dict[str, list[Rule]] = {}
+    for path in sorted(Path(folder).glob("*.toml")):
+        for r in tomllib.loads(path.read_text())["rule"]:
+            if "n" not in re.compile(r["pattern"]).groupindex or r["type"] not in ("Container", "Callable", "Data"):
+                raise ValueError(f"{path.name}: {r}")
+            out.setdefault(r["language"], []).append(Rule(r["pattern"], r["type"], r.get("kind"), r.get("subtype")))
+    return out
+
+
+def _own(text: str, rules: Sequence[Rule]) -> list[Tag]:
+    """What a user's rules find, a line each."""
+    out = []
+    for i, line in enumerate(text.split("\n") if rules else (), 1):
+        for r in rules:
+            for m in re.finditer(r.pattern, line):
+                out.append(Tag(m["n"], r.node_type, r.kind, r.subtype, i, (i, i), head=line.strip()))
+    return out
+
+
+def extract(text: str, language: str, rules: Sequence[Rule] = ()) -> list[Tag]:
+    """Tags in order of their place; broken Python is read by the scanner. What rules find comes after what the language declares."""
+    return sorted([*_extract(text, language), *_own(text, rules)], key=lambda t: (t.span[0], -t.span[1], t.line))
+
+
+def _extract(text: str, language: str) -> list[Tag]:
     if language == "python":
         try:
-            return sorted(_python(text), key=lambda t: (t.span[0], -t.span[1], t.line))
+            return _python(text)
         except (SyntaxError, ValueError, RecursionError):
             pass
-    return sorted(_scan(text, language), key=lambda t: (t.span[0], -t.span[1], t.line))
+    return _scan(text, language)
 
 
 def _python(text: str) -> list[Tag]:
@@ -329,13 +366,13 @@ def metadata(tag: Tag, language: str) -> dict:
     return {k: v for k, v in out.items() if v is not None}
 
 
-def build_file(path: str, text: str, language: str) -> tuple[list[dict], list[dict], list[dict]]:
+def build_file(path: str, text: str, language: str, rules: Sequence[Rule] = ()) -> tuple[list[dict], list[dict], list[dict]]:
     """Nodes, CONTAINS and DEFINES edges, and references of a file."""
     lines = text.count("\n") + 1
     nodes = [{"id": path, "name": path.rsplit("/", 1)[-1], "node_type": "Container", "kind": "file", "subtype": None, "line": 1, "end_line": lines, "span": (1, lines), "metadata": {}}]
     edges, refs, seen = [], [], {path}
     stack: list[tuple[int, str, str]] = []  # last line, id, name
-    tags = extract(text, language)
+    tags = extract(text, language, rules)
     every = text.split("\n")
     spans = []
     by_name = {}

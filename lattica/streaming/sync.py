@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def auto_sync(engine, every: str = "30 seconds", once: bool = False, then: Callable[[dict], None] | None = None) -> StreamingQuery:
-    """Update an engine's graph and vectors again and again. Files that change in place or go are invisible to a file stream, so each trigger compares snapshots instead."""
+IDLE, UPDATING, INDEXING, FAILED = "idle", "updating", "indexing", "failed"
+
+
+class Busy(RuntimeError):
+    pass
+
+
+class Sync:
+    """Updates of one engine, one at a time, and what they are doing: idle, updating (the graph), indexing (the vectors) or failed (until the next one succeeds)."""
+
+    def __init__(self, engine):
+        self.engine, self.state, self.error, self.runs, self.last = engine, IDLE, None, 0, None
+        self._lock = threading.Lock()
+
+    def run(self, force: bool = False) -> dict:
+        """Update the graph, then the vectors if they fall behind; Busy if an update is running."""
+        if not self._lock.acquire(blocking=False):
+            raise Busy(self.state)
+        try:
+            self.state = UPDATING
+            done = self.engine.update(force)
+            if self.engine.store.exists("points_code") and self.engine.needs_reindex():
+                self.state = INDEXING
+                done |= self.engine.index()
+            self.state, self.error, self.last = IDLE, None, done
+            self.runs += 1
+            return done
+        except Exception as e:
+            self.state, self.error = FAILED, str(e)
+            raise
+        finally:
+            self._lock.release()
+
+    def status(self) -> dict:
+        """State, runs, last result and error, and the engine's versions and counts."""
+        return {"state": self.state, "runs": self.runs, "last": self.last, "error": self.error, **self.engine.index_status()}
+
+
+def auto_sync(engine, every: str = "30 seconds", once: bool = False, then: Callable[[dict], None] | None = None, sync: Sync | None = None) -> StreamingQuery:
+    """Update an engine's graph and vectors again and again. Files that change in place or go are invisible to a file stream, so each trigger compares snapshots instead. A trigger that finds an update running is left out."""
     ticks = engine.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load() if once else engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    own = sync or Sync(engine)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        done = engine.update()
+        try:
+            done = own.run()
+        except Busy:
+            return
         if then:
             then(done)
 

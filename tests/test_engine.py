@@ -171,6 +171,7 @@ def test_workspaces(spark, root, tmp_path):
     assert w.node("one::app/util.py:helper")["name"] == "helper"
     again = Workspaces(spark, str(tmp_path / "registry.json"))
     assert again.active == "one" and again.list()[0]["has_index"]
+    assert again.index_status()["workspaces"] == 1 and again.index_status()["needs_reindex"] == [] and again.index_status()["points_code"] > 5
     assert w.unregister("one") and w.active is None and not w.unregister("one")
     with pytest.raises(NotFound):
         w.register("two", str(tmp_path / "missing"))
@@ -200,10 +201,35 @@ def test_sync_once(spark, root, tmp_path):
     e, seen = Engine(spark, str(root), str(tmp_path / "store")), []
     sync.auto_sync(e, once=True, then=seen.append).awaitTermination(120)
     assert seen and seen[0]["full"] and e.store.exists("nodes")
+    own = sync.Sync(e)
+    assert own.run()["n_total"] == 0 and own.status()["state"] == sync.IDLE and own.status()["runs"] == 1
+    with own._lock, pytest.raises(sync.Busy):
+        own.run()
+    own.engine = None
+    with pytest.raises(AttributeError):
+        own.run()
+    assert own.state == sync.FAILED
+
+
+def test_rules_of_a_user(spark, tmp_path):
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules/a.toml").write_text("[[rule]]\nlanguage = 'python'\npattern = '^register\\(\"(?P<n>\\w+)\"'\ntype = 'Callable'\nkind = 'function'\n")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/x.py").write_text('register("job", 1)\n\ndef f():\n    job()\n')
+    e = Engine(spark, str(tmp_path / "t"), str(tmp_path / "s"), rules=str(tmp_path / "rules"))
+    e.rebuild()
+    assert e.node("x.py:job")["kind"] == "function" and ("x.py:f", "x.py:job") in {(r.source, r.target) for r in e.edges.where("edge_type = 'USES'").collect()}
 
 
 def test_command_line(root, tmp_path, capsys, spark):
-    from lattica.__main__ import config_value, load_config, main
+    from lattica.__main__ import config_value, load_config, main, set_config
+
+    set_config(str(root), "search.mode", "code")
+    set_config(str(root), "search.limit", "7")
+    set_config(str(root), "analysis.exclude", '["a b"]')
+    assert load_config(str(root), None, str(tmp_path))["search"] == {"limit": 7, "mode": "code", "min_score": 0.0} and load_config(str(root), None, str(tmp_path))["analysis"]["exclude"] == ["a b"]
+    with pytest.raises(NotFound):
+        set_config(str(root), "search.limit.x", "1")
 
     (root / ".lattica").mkdir(exist_ok=True)
     (root / ".lattica/config.toml").write_text('[search]\nlimit = 3\n[embedding]\nprovider = "hashing"\ndim = 64\n')
