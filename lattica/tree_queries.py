@@ -192,9 +192,9 @@ def tree_edges(spark, sf_dir):
     return _engine(spark, sf_dir).edges.select(*_EDGE)
 
 
-@_tree("SELECT id, text, CASE WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility FROM inner_")
+@_tree("SELECT id, text, CASE WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility, false AS is_empty FROM inner_")
 def tree_metadata(spark, sf_dir):
-    return _engine(spark, sf_dir).nodes.where("kind not in ('file', 'repository', 'component')").select("id", "text", F.col("metadata.visibility").alias("visibility"))
+    return _engine(spark, sf_dir).nodes.where("kind not in ('file', 'repository', 'component')").select("id", "text", F.col("metadata.visibility").alias("visibility"), paths.is_empty_metadata(F.col("metadata"), ("visibility", "async", "static", "decorators")).alias("is_empty"))
 
 
 @_tree("SELECT 'node' AS what, id AS a, kind AS b, line AS n FROM nodes UNION ALL SELECT edge_type, source, target, ref_line FROM edges")
@@ -351,18 +351,18 @@ def tree_component_drawing(spark, sf_dir):
 
 def _described_sql() -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(v.split())}') THEN '{k}' END" for k, v in text.KEYWORDS.items())
-    return f"""SELECT id, concat_ws('. ', visibility || ' ' || kind || ' ' || name, params, parent, 'in file ' || array_to_string(string_split(path, '/')[-3:], '/'), calls, CASE WHEN len(words) > 0 THEN 'related to: ' || array_to_string(words, ', ') END, 'code: ' || trim(text)) AS semantic_text
+    return f"""SELECT id, concat_ws('. ', visibility || ' ' || CASE WHEN node_type = 'Container' THEN subtype ELSE kind END || ' ' || name, CASE WHEN heir THEN 'extends Base' END, params, CASE WHEN heir THEN 'methods: total, _low' || name[2:] END, parent, 'in file ' || array_to_string(string_split(path, '/')[-3:], '/'), calls, CASE WHEN len(words) > 0 THEN 'related to: ' || array_to_string(words, ', ') END, 'code: ' || trim(text)) AS semantic_text
 FROM (SELECT *, list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)) AS words FROM (
-  SELECT *, lower(name) || chr(10) || lower(text) AS t, CASE WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility,
+  SELECT *, lower(name) || chr(10) || lower(text) AS t, CASE WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility, node_type = 'Container' AND name <> 'Base' AS heir,
     CASE WHEN name = 'total' THEN '(amount)' WHEN kind = 'function' THEN '(x)' END AS params, CASE WHEN kind = 'method' THEN 'in ' || string_split(up, ':')[-1] END AS parent,
-    CASE WHEN name = 'total' THEN 'calls nation' || regexp_extract(path, '^n([0-9]+)/', 1) WHEN kind = 'method' THEN 'calls total' END AS calls FROM inner_ WHERE node_type = 'Callable'))"""
+    CASE WHEN name = 'total' THEN 'calls nation' || regexp_extract(path, '^n([0-9]+)/', 1) WHEN kind = 'method' THEN 'calls total' WHEN heir THEN 'uses types Base' END AS calls FROM inner_ WHERE node_type <> 'Data'))"""
 
 
 @_tree(_described_sql())
 def tree_descriptions(spark, sf_dir):
     e = _engine(spark, sf_dir)
     n = e.nodes.withColumn("content", F.coalesce("text", F.lit("")))
-    return describe.describe(n, e.edges, n.where("node_type = 'Callable'")).select("id", "semantic_text")
+    return describe.describe(n, e.edges, n.where("node_type <> 'Data' and kind not in ('file', 'repository', 'component')")).select("id", "semantic_text")
 
 
 @_tree("SELECT id AS entity_id, name, node_type AS type, kind, path AS file_path, line AS start_line, text AS content, 768 AS width FROM inner_")

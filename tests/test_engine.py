@@ -211,6 +211,28 @@ def test_sync_once(spark, root, tmp_path):
     assert own.state == sync.FAILED
 
 
+def test_git_and_discovery(spark, tmp_path):
+    """Branch and commit of a repository, also of a detached head; workspaces below a folder."""
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "a"), "-c", "user.name=x", "-c", "user.email=x@y.z", *a], check=True, capture_output=True, text=True).stdout.strip()
+    (tmp_path / "a/in").mkdir(parents=True)
+    (tmp_path / "a/x.py").write_text("x = 1\n")
+    assert tree.git_metadata(str(tmp_path / "a")) == {"remote": None, "commit": None, "branch": None}
+    git("init", "-q", "-b", "trunk")
+    git("add", "x.py")
+    git("commit", "-q", "-m", "one")
+    git("remote", "add", "origin", "https://example.org/a.git")
+    assert tree.git_metadata(str(tmp_path / "a")) == {"remote": "https://example.org/a.git", "commit": git("rev-parse", "HEAD"), "branch": "trunk"}
+    git("checkout", "-q", "--detach")
+    assert tree.git_metadata(str(tmp_path / "a"))["branch"] == "HEAD"
+    (tmp_path / "b/.lattica").mkdir(parents=True)
+    found = Workspaces.discover(str(tmp_path))
+    assert found == [str(tmp_path / "a"), str(tmp_path / "b")]
+    w = Workspaces(spark, str(tmp_path / "r.json"))
+    assert w.register_discovered(found, "all") == 2 and [x["name"] for x in w.list()] == ["all/a", "all/b"]
+
+
 def test_rules_of_a_user(spark, tmp_path):
     (tmp_path / "rules").mkdir()
     (tmp_path / "rules/a.toml").write_text("[[rule]]\nlanguage = 'python'\npattern = '^register\\(\"(?P<n>\\w+)\"'\ntype = 'Callable'\nkind = 'function'\n")
