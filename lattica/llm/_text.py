@@ -237,7 +237,7 @@ def runs_of(sizes: Sequence[int], limit: int = CHUNK) -> Iterator[tuple[int, int
             yield low, i
             low, size = i, 0
         size += n + 1
-        if size >= limit:
+        if size >= limit or n >= LONG:
             yield low, i + 1
             low, size = i + 1, 0
     if low < len(sizes):

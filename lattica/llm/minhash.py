@@ -69,10 +69,16 @@ def distinct(raw: memoryview, k: int) -> np.ndarray:
     if not parts:
         own = [w for part in long_words(raw) for w in part.tolist()]
         return shingles(Words(np.array(own, np.uint64), np.zeros(len(own), np.int64), np.array([0, len(own)])), 1, k)[0]
-    h = np.concatenate(parts)
-    parts.clear()
+    h = np.empty(sum(map(len, parts)), np.uint64)
+    at = len(h)
+    while parts:  # each part goes when it is copied
+        p = parts.pop()
+        at -= len(p)
+        h[at : at + len(p)] = p
     h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h if new.all() else h[new]
 
 
 class Circulant:
@@ -94,15 +100,14 @@ class Circulant:
         np.right_shift(x, np.uint32(16), out=spare)
         return np.bitwise_xor(x, spare, out=x)
 
-    def _ranks(self, at: np.ndarray) -> np.ndarray:
-        x = at[:, None] + self.shift
+    def _ranks(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(32)).astype(np.uint32)
+        x = self.permute(at, self.keys[0], np.empty_like(at))[:, None] + self.shift
         return self.permute(x, self.keys[1], np.empty_like(x))
 
     def __call__(self, h: np.ndarray, offsets: np.ndarray, block: int = 2048) -> np.ndarray:
         """Signatures of the sets h[offsets[i]:offsets[i+1]]; all ones for an empty set."""
         out = np.full((len(offsets) - 1, self.size), 0xFFFFFFFF, np.uint32)
-        at = (h >> np.uint64(32)).astype(np.uint32)
-        at = self.permute(at, self.keys[0], np.empty_like(at))
         full = np.flatnonzero(np.diff(offsets))
         low = 0
         while low < len(full):
@@ -112,9 +117,9 @@ class Circulant:
             if high == low + 1:  # one set, perhaps very long: block by block
                 d = rows[0]
                 for b in range(begin, offsets[d + 1], block):
-                    np.minimum(out[d], self._ranks(at[b : min(b + block, offsets[d + 1])]).min(axis=0), out=out[d])
+                    np.minimum(out[d], self._ranks(h[b : min(b + block, offsets[d + 1])]).min(axis=0), out=out[d])
             else:
-                out[rows] = np.minimum.reduceat(self._ranks(at[begin : offsets[rows[-1] + 1]]), offsets[rows] - begin, axis=0)
+                out[rows] = np.minimum.reduceat(self._ranks(h[begin : offsets[rows[-1] + 1]]), offsets[rows] - begin, axis=0)
             low = high
         return out
 
