@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import bytecnn, minhash, mixing, queries, shards, winnow
+from lattica.llm._text import split_words
 
 from .test_dedup import brute_groups, brute_spans
 
@@ -206,8 +207,8 @@ def test_pipeline_equals_brute_force(spark, quick):
     assert 0 < len(kept) < len(docs)
     groups = brute_groups([(i, t) for i, t, _ in kept])
     kept = [x for x in kept if groups[x[0]] == x[0]]
-    grams = {tuple(w[i : i + 8]) for _, t in items for w in [winnow.split_words(t)] for i in range(len(w) - 7)}
-    dirty = {i for i, t, _ in kept for w in [winnow.split_words(t)] if any(tuple(w[j : j + 8]) in grams for j in range(len(w) - 7))}
+    grams = {tuple(w[i : i + 8]) for _, t in items for w in [split_words(t)] for i in range(len(w) - 7)}
+    dirty = {i for i, t, _ in kept for w in [split_words(t)] if any(tuple(w[j : j + 8]) in grams for j in range(len(w) - 7))}
     kept = [x for x in kept if x[0] not in dirty]
     drawn = brute_draws(kept)
     size = Counter()
