@@ -9,10 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import bytecnn, minhash, mixing, queries, shards, winnow
+from lattica.llm import bytecnn, mixing, queries, shards
 from lattica.llm._text import split_words
 
 from .test_dedup import brute_groups, brute_spans

@@ -5,7 +5,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lattica.llm import minhash, winnow
 from lattica.llm._text import gram_hashes_of_words, grams, split_words, words
