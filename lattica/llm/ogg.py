@@ -11,9 +11,12 @@ framing is counted as bad and skipped; parsing goes on at the next capture
 pattern. A packet that a missing or bad page interrupts is dropped and counted
 as lost. Of several packets that end on a page the last has the page's granule
 position, the ones before it are placed evenly between it and that of the page
-before; headers have time 0, a page without position (-1) gives no times. A page that begins
-a stream begins a new one even if its serial number was seen before (chained files).
-A null
+before, or have no time if that page is missing; headers have time 0, a page without
+position (-1) gives no times. A page that begins a stream, or follows the end of one,
+begins a new one even if its serial number was seen before (chained files). After
+missing pages, headers are what says so itself on a page of position 0; all else is
+payload. A stream whose first packet is missing has no codec and no times. A gap counts
+as one lost packet if it interrupts any. A null
 or empty value, or one without a page, has no packets. Repeated rows are parsed
 each, other columns are never read, an empty table gives an empty result.
 
@@ -24,6 +27,7 @@ checksum of a page is one call of zlib on the bit-reversed bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -37,8 +41,13 @@ from . import _store
 
 _REV = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")
+_HEADER = re.compile(rb"OpusHead|OpusTags|[\x01\x03\x05]vorbis|[\x80-\x82]theora")
 CONTINUED, FIRST, LAST = 1, 2, 4
-RATE, PACKET, SEGMENTS, PRESKIP, FRAME = 1000, 3000, 32, 312, 960
+RATE, PACKET, SEGMENTS, PRESKIP, FRAME, FORMS = 1000, 3000, 32, 312, 960, 10
+OPUS = (b"OpusHead\x01\x01" + struct.pack("<HIhB", PRESKIP, 48000, 0, 0), b"OpusTags" + bytes(8))
+VORBIS = (b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 1, 44100, 0, 0, 0, 0xB8, 1), b"\x03vorbis", b"\x05vorbis")
+#: Bytes of packets() that go out at once, about.
+BATCH = 1 << 22
 
 
 def crc(page: bytes) -> int:
@@ -91,15 +100,17 @@ class Stream:
     shift: int = -1
     headers: int = 1
     next_number: int = -1
-    before: int = 0
+    before: int | None = 0
+    torn: bool = False
+    ended: bool = False
     part: bytearray | None = None
     packets: list[tuple[bytes, int, float | None]] = field(default_factory=list)
     lost: int = 0
     n_pages: int = 0
 
     def open(self, head: bytes, rate: float) -> None:
-        """Codec and clock from the first packet."""
-        self.rate = rate
+        """Codec and clock from the first packet, if that is there."""
+        self.rate, self.headers = (0, 3) if self.torn else (rate, 1)
         if head[:7] == b"\x01vorbis" and len(head) >= 16:
             self.codec, self.rate, self.headers = "vorbis", struct.unpack_from("<I", head, 12)[0], 3
         elif head[:8] == b"OpusHead" and len(head) >= 12:
@@ -111,6 +122,13 @@ class Stream:
         elif head[:7] == b"\x80theora" and len(head) >= 42:
             up, down = struct.unpack_from(">II", head, 22)
             self.codec, self.rate, self.headers, self.shift = "theora", up / max(1, down), 3, (int.from_bytes(head[40:42], "big") >> 5) & 31
+        self.torn = self.torn and not self.codec
+
+    def is_header(self, packet: bytes, granule: int) -> bool:
+        """Of a packet among the first ones; their number says nothing once pages are missing."""
+        if not self.torn:
+            return True
+        return granule == 0 and (packet[:1] != b"\xff" if self.codec == "flac" else bool(_HEADER.match(packet)))
 
     def seconds(self, granule: float) -> float | None:
         if not self.rate:
@@ -146,7 +164,7 @@ def parse(data: bytes | None, rate: float = RATE) -> tuple[list[Stream], int]:
             at = size if after < 0 else after
             continue
         s = streams.get(serial)
-        if s is None or (flags & FIRST and s.n_pages):
+        if s is None or s.ended or flags & FIRST:
             s = streams[serial] = Stream(serial)
             found.append(s)
         _take(s, number, flags, granule, lacing, data[at + 27 + n : end], rate)
@@ -157,8 +175,10 @@ def parse(data: bytes | None, rate: float = RATE) -> tuple[list[Stream], int]:
 
 
 def _take(s: Stream, number: int, flags: int, granule: int, lacing: bytes, body: bytes, rate: float) -> None:
-    gap = s.next_number >= 0 and number != s.next_number
-    s.next_number, s.n_pages = number + 1, s.n_pages + 1
+    gap = number != s.next_number if s.n_pages else not flags & FIRST
+    s.next_number, s.n_pages, s.ended = number + 1, s.n_pages + 1, bool(flags & LAST)
+    if gap:
+        s.torn, s.before = True, None
     broken = s.part is not None and (gap or not flags & CONTINUED)
     if broken:
         s.part = None
@@ -180,11 +200,15 @@ def _take(s: Stream, number: int, flags: int, granule: int, lacing: bytes, body:
         first = len(s.packets)
         if not first:
             s.open(packet, rate)
+        if first < s.headers and not s.is_header(packet, granule):
+            s.headers = first
         when = None
         if first < s.headers:
             when = 0.0
-        elif granule >= 0:
-            when = s.seconds(granule if i == len(done) - 1 else s.before + (granule - s.before) * (i + 1) / len(done))
+        elif granule >= 0 and i == len(done) - 1:
+            when = s.seconds(granule)
+        elif granule >= 0 and s.before is not None:
+            when = s.seconds(s.before + (granule - s.before) * (i + 1) / len(done))
         s.packets.append((packet, granule if i == len(done) - 1 else -1, when))
     if done and granule >= 0:
         s.before = granule
@@ -196,12 +220,23 @@ _PACKET = "id long, stream int, serial long, codec string, packet int, granule l
 def packets(files: DataFrame, id_col: str, data_col: str, rate: float = RATE) -> DataFrame:
     """(id, stream, serial, codec, packet, granule, seconds, data): a row for every packet of every stream of every file."""
 
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.binary())
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _PACKET.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(i, k, s.serial, s.codec or None, n, g if g >= 0 else None, t, p) for k, s in enumerate(parse(data.as_py(), rate)[0]) for n, (p, g, t) in enumerate(s.packets)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["id", "stream", "serial", "codec", "packet", "granule", "seconds", "data"])
+                for k, s in enumerate(parse(data.as_py(), rate)[0]):
+                    rows += [(i, k, s.serial, s.codec or None, n, g if g >= 0 else None, t, p) for n, (p, g, t) in enumerate(s.packets)]
+                    size += sum(len(p) for p, _, _ in s.packets)
+                if size + 100 * len(rows) >= BATCH:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
 
     return _store.arrow(_store.pick(files, _id=id_col, _data=data_col).withColumn("_id", F.col("_id").cast("long")), run, _PACKET)
 
@@ -256,22 +291,42 @@ def from_text(text: str | None, note: str | None) -> bytes:
     """A file of two interleaved streams: the text's bytes as Opus packets of PACKET bytes and FRAME samples each, the note as a Vorbis packet."""
     raw = (text or "").encode("utf-8", "replace")
     own = [(raw[i : i + PACKET], PRESKIP + FRAME * (i // PACKET + 1)) for i in range(0, len(raw), PACKET)]
-    opus = b"OpusHead\x01\x01" + struct.pack("<HIhB", PRESKIP, 48000, 0, 0)
-    vorbis = b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 1, 44100, 0, 0, 0, 0xB8, 1)
-    a = pages_of(1, [(opus, 0), (b"OpusTags" + bytes(8), 0), *own], 2)
-    b = pages_of(2, [(vorbis, 0), (b"\x03vorbis", 0), (b"\x05vorbis", 0), ((note or "").encode("utf-8", "replace"), 44100)], 3)
+    a = pages_of(1, [*((p, 0) for p in OPUS), *own], 2)
+    b = pages_of(2, [*((p, 0) for p in VORBIS), ((note or "").encode("utf-8", "replace"), 44100)], 3)
     out = []
     for i in range(max(len(a), len(b))):
         out += a[i : i + 1] + b[i : i + 1]
     return b"".join(out)
 
 
-def text_files(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): the documents as Ogg files, since no table holds media."""
+def damaged(data: bytes, form: int) -> bytes:
+    """A file of from_text as it may come. 0: whole; 1: twice in a row; 2: amid other bytes; 9: cut off in its last page. With a wrong checksum in the page of: 3 OpusHead, 4 OpusTags, 5 the begin of the text, 7 either first packet, in the second of two copies, 8 the second Vorbis header. 6: without the second page of the text."""
+    pages, at = [], 0
+    while at < len(data):
+        end = at + 27 + data[at + 26] + sum(data[at + 27 : at + 27 + data[at + 26]])
+        pages.append((*struct.unpack_from("<II", data, at + 14), data[at:end]))
+        at = end
+    if form == 1:
+        return data + data
+    if form == 2:
+        return b"before" + data + b"after"
+    if form == 6:
+        return b"".join(p for serial, number, p in pages if (serial, number) != (1, 3))
+    if form == 9:
+        return data[: len(data) - len(pages[-1][2]) + 20]
+    bad = {3: [(1, 0)], 4: [(1, 1)], 5: [(1, 2)], 7: [(1, 0), (2, 0)], 8: [(2, 1)]}.get(form, [])
+    spoiled = b"".join(p[:22] + bytes([p[22] ^ 1]) + p[23:] if (serial, number) in bad else p for serial, number, p in pages)
+    return data + spoiled if form == 7 else spoiled
+
+
+def text_files(docs: DataFrame, damage: bool = False) -> DataFrame:
+    """(doc_id, media): the documents as Ogg files, since no table holds media; with damage, in the form that the rest of doc_id by FORMS says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = [from_text(t.as_py(), n) for t, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            if damage:
+                media = [damaged(m, (i or 0) % FORMS) for m, i in zip(media, batch.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     note: Column = F.concat_ws(" ", F.col("_source"), F.col("_lang"))
@@ -290,3 +345,60 @@ SELECT doc_id, 0 AS stream, 1::BIGINT AS serial, 'opus' AS codec, (2 + ((n // {P
 UNION ALL
 SELECT doc_id, 1, 2, 'vorbis', 3 + (strlen(note) // 255 + {SEGMENTS}) // {SEGMENTS}, 0, 0, 1, strlen(note), 1.0, md5(note) FROM s
 """
+
+_HEADS = "\n".join(
+    f"  UNION ALL SELECT doc_id, {k}, {k + 1}, '{codec}', {n}, 0, 0.0, {len(p)}, '{hashlib.md5(p, usedforsecurity=False).hexdigest()}' FROM d"
+    for k, (codec, heads) in enumerate((("opus", OPUS), ("vorbis", VORBIS)))
+    for n, p in enumerate(heads)
+)
+
+#: DuckDB: every packet. j: number of a packet of the text; page: the page it ends on; positions run evenly from the page before (0 before the first) to the page's.
+PACKETS_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, octet_length(raw) AS n, encode(concat_ws(' ', source, lang)) AS note FROM documents
+), t AS (
+  SELECT r, doc_id, j, raw[{PACKET} * j + 1 : {PACKET} * (j + 1)] AS data,
+    ({PACKET // 255 + 1} * j + octet_length(data) // 255) // {SEGMENTS} AS page FROM d, unnest(range((n + {PACKET} - 1) // {PACKET})) AS u(j)
+), p AS (
+  SELECT *, min(j) OVER w AS low, max(j) OVER w AS top FROM t WINDOW w AS (PARTITION BY r, page)
+), q AS (
+  SELECT *, CASE WHEN low > 0 THEN {PRESKIP} + {FRAME} * low ELSE 0 END AS before, {PRESKIP} + {FRAME} * (top + 1) AS granule FROM p
+), o AS (
+  SELECT doc_id, 0 AS stream, 1::BIGINT AS serial, 'opus' AS codec, {len(OPUS)} + j AS packet, CASE WHEN j = top THEN granule END AS granule,
+    greatest(0, (before + (granule - before) * (j - low + 1) / (top - low + 1) - {PRESKIP}) / 48000) AS seconds, octet_length(data) AS n_bytes, md5(data) AS md5 FROM q
+  UNION ALL SELECT doc_id, 1, 2, 'vorbis', {len(VORBIS)}, 44100, 1.0, octet_length(note), md5(note) FROM d
+{_HEADS}
+)
+SELECT doc_id, stream::INTEGER AS stream, serial, codec, packet::INTEGER AS packet, granule::BIGINT AS granule, seconds::DOUBLE AS seconds, n_bytes::INTEGER AS n_bytes, md5 FROM o
+"""
+
+#: DuckDB: the streams of damaged files. gone: the page of a stream that is not read; packets low to high touch it; each OggS in a page that fails is one more bad page.
+DAMAGED_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce((doc_id % {FORMS} + {FORMS}) % {FORMS}, 0) AS form,
+    encode(coalesce(text, '')) AS raw, octet_length(raw) AS n, encode(concat_ws(' ', source, lang)) AS note, octet_length(note) AS m,
+    n // {PACKET} * {PACKET // 255 + 1} + CASE WHEN n % {PACKET} > 0 THEN n % {PACKET} // 255 + 1 ELSE 0 END AS raw_laced, m // 255 + 1 AS note_laced,
+    {len(OPUS)} + (raw_laced + {SEGMENTS - 1}) // {SEGMENTS} AS raw_pages, {len(VORBIS)} + (note_laced + {SEGMENTS - 1}) // {SEGMENTS} AS note_pages FROM documents
+), c AS (
+  SELECT * FROM d, unnest(range(CASE WHEN form IN (1, 7) THEN 2 ELSE 1 END)) AS u(copy)
+), s AS (
+  SELECT r, doc_id, form, copy, 1 AS serial, 'opus' AS codec, {len(OPUS)} AS heads, raw AS body, {PACKET} AS size, (n + {PACKET} - 1) // {PACKET} AS packets,
+    raw_laced AS laced, {PACKET // 255 + 1} AS step, raw_pages AS pages, raw_pages > note_pages AS ends, {FRAME} AS frame, 48000 AS rate FROM c
+  UNION ALL
+  SELECT r, doc_id, form, copy, 2, 'vorbis', {len(VORBIS)}, note, m, 1, note_laced, note_laced, note_pages, raw_pages <= note_pages, 44100, 44100 FROM c
+), a AS (
+  SELECT *, CASE WHEN form = 3 AND serial = 1 OR form = 7 AND copy = 1 THEN 0 WHEN form = 4 AND serial = 1 OR form = 8 AND serial = 2 THEN 1
+    WHEN form = 5 AND serial = 1 AND pages > 2 THEN 2 WHEN form = 6 AND serial = 1 AND pages > 3 THEN 3 WHEN form = 9 AND ends THEN pages - 1 END AS gone FROM s
+), b AS (
+  SELECT *, CASE WHEN gone >= heads THEN (gone - heads) * {SEGMENTS} END AS first, CASE WHEN first >= 0 THEN least(first + {SEGMENTS}, laced) END AS past,
+    first // step AS low, (past - 1) // step AS high FROM a
+), k AS (
+  SELECT *, CASE WHEN low IS NULL THEN body ELSE body[1 : low * size] || body[(high + 1) * size + 1 : octet_length(body)] END AS kept,
+    CASE WHEN gone = 0 THEN 0 WHEN high = packets - 1 THEN low ELSE packets END AS until, hex(body[1 : {SEGMENTS // (PACKET // 255 + 1) * PACKET + SEGMENTS % (PACKET // 255 + 1) * 255}]) AS page FROM b
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY copy, CASE WHEN gone = 0 THEN 2 ELSE 0 END + serial) - 1)::INTEGER AS stream, serial::BIGINT AS serial, CASE WHEN gone = 0 THEN NULL ELSE codec END AS codec,
+  (pages - CASE WHEN gone IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_pages,
+  (CASE form WHEN 2 THEN 2 WHEN 6 THEN 0 ELSE count(gone) OVER w END + max(CASE WHEN form = 5 AND gone = 2 THEN (length(page) - length(replace(page, hex('OggS'), ''))) // 8 ELSE 0 END) OVER w)::INTEGER AS n_bad,
+  CASE WHEN low * step < first OR least((high + 1) * step, laced) > past THEN 1 ELSE 0 END AS n_lost,
+  (packets - coalesce(high - low + 1, 0))::BIGINT AS n_packets, octet_length(kept)::BIGINT AS n_bytes, (until * frame / rate)::DOUBLE AS seconds, md5(kept) AS md5 FROM k WINDOW w AS (PARTITION BY r)
+"""

@@ -55,6 +55,17 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.streams(ogg.text_files(read(spark, sf_dir, "documents")), "doc_id", "media").withColumnRenamed("id", "doc_id")
 
 
+def op7_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet of every stream of the same files, headers too, with its position and time."""
+    found = ogg.packets(ogg.text_files(read(spark, sf_dir, "documents")), "doc_id", "media")
+    return found.select(F.col("id").alias("doc_id"), "stream", "serial", "codec", "packet", "granule", "seconds", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("md5"))
+
+
+def op7_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an Ogg file that is whole, chained, amid other bytes or damaged, by its id: a row for each stream."""
+    return ogg.streams(ogg.text_files(read(spark, sf_dir, "documents"), damage=True), "doc_id", "media").withColumnRenamed("id", "doc_id")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of a document that a license template covers."""
     return licenses.scan(read(spark, sf_dir, "documents"))
@@ -85,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_minimax_sharding,
         op6_temperature_mixing,
         op7_ogg_media,
+        op7_packets,
+        op7_damaged,
         op8_license_scan,
         op8_short_notices,
         op9_minhash_dedup,
@@ -100,6 +113,8 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minimax_sharding": shards.ORACLE_SQL,
     "op6_temperature_mixing": mixing.ORACLE_SQL,
     "op7_ogg_media": ogg.ORACLE_SQL,
+    "op7_packets": ogg.PACKETS_SQL,
+    "op7_damaged": ogg.DAMAGED_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,
     "op8_short_notices": licenses.NOTICES_SQL,
 }

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.llm import licenses, ogg, toolcalls, warc
+from lattica.llm import queries as llm_queries
 from lattica.llm._text import split_words
 
 
@@ -246,6 +247,63 @@ def test_ogg_tables(spark):
     assert ogg.summary(raw.limit(0), "id", "data").count() == 0 and ogg.streams(raw, "id", "data").count() == 0
 
 
+def ogg_pages(data):
+    """Pages by stream and number, in order."""
+    at, out = 0, {}
+    while at < len(data):
+        end = at + 27 + data[at + 26] + sum(data[at + 27 : at + 27 + data[at + 26]])
+        out[struct.unpack_from("<II", data, at + 14)] = data[at:end]
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("lost", [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)])
+def test_ogg_header_lost(lost):
+    """Whatever header is missing, no packet of the payload is taken for one."""
+    pages = ogg_pages(ogg.from_text("OpusTags" + "x" * 20_000, "note"))
+    got, bad = ogg.parse(b"".join(p for at, p in pages.items() if at != lost))
+    assert bad == 0 and {s.serial: b"".join(p for p, _, _ in s.packets[s.headers :]) for s in got} == {1: b"OpusTags" + b"x" * 20_000, 2: b"note"}
+    for s in got:
+        begun = (s.serial, 0) != lost
+        assert bool(s.codec) == begun and not s.lost and [t for _, _, t in s.packets[: s.headers]] == [0.0] * s.headers
+        assert s.packets[-1][2] == ((0.14 if s.serial == 1 else 1.0) if begun else None)
+
+
+def test_ogg_times_after_gap():
+    """Behind a missing page only the last packet of a page has a time, until the next page."""
+    pages = ogg_pages(ogg.from_text("x" * 60_000, ""))
+    times = lambda lost: {round(g): t for _, g, t in ogg.parse(b"".join(p for at, p in pages.items() if at != lost))[0][0].packets[2:] if g >= 0}
+    whole, torn = times(None), times((1, 4))
+    assert torn.items() < whole.items() and len(torn) == len(whole) - 1
+    s = ogg.parse(b"".join(p for at, p in pages.items() if at != (1, 4)))[0][0]
+    unknown = [i for i, (_, _, t) in enumerate(s.packets) if t is None]
+    assert unknown and s.packets[unknown[-1] + 1][2] in whole.values() and all(t is not None for _, _, t in s.packets[unknown[-1] + 1 :])
+
+
+def test_ogg_chained_begin_lost():
+    """What follows the end of a stream is another one."""
+    one, two = (ogg.from_text(t, "n") for t in ("a" * 4000, "b" * 4000))
+    pages = ogg_pages(two)
+    got, _ = ogg.parse(one + b"".join(p for (_, n), p in pages.items() if n))
+    assert [b"".join(p for p, _, _ in s.packets[s.headers :])[:1] for s in got] == [b"a", b"n", b"b", b"n"] and not any(s.lost for s in got)
+
+
+@pytest.mark.parametrize("name", ["op7_ogg_media", "op7_packets", "op7_damaged"])
+def test_ogg_queries_equal_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(7)
+    sizes = [0, 1, 254, 255, 2999, 3000, 3001, 8039, 8040, 8041, 16_160, 24_000, 40_000]
+    rows = [(i if i % 19 else None, r.choice([None, "x" * n, "é€" * (n // 5), "OggS" * (n // 4), "OpusTags" * (n // 8)]), r.choice([None, "s"]), r.choice([None, "de", "y" * 9000])) for i in range(-20, 120) for n in [r.choice(sizes)]]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string, lang string").write.parquet(at)
+    df = llm_queries.QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{at}/*.parquet'")
+    want = c.execute(f"select {', '.join(df.columns)} from ({llm_queries.ORACLE_SQL[name]})").fetchall()
+    rows_of = lambda got: sorted(repr(tuple(float(x) if k == "seconds" and x is not None else x for k, x in zip(df.columns, row, strict=True))) for row in got)
+    assert rows_of(df.collect()) == rows_of(want)
+
+
 # Licenses
 
 
