@@ -97,7 +97,9 @@ def component_parents(components: DataFrame, repo_id: str) -> DataFrame:
 
 def dependency_edges(components: DataFrame) -> DataFrame:
     """DEPENDS_ON edges of the local dependencies: to the component in the directory their path leads to, or that is their path; workspace dependencies without either to the smallest id whose directory is named like them or whose own name is, scope aside."""
-    deps = components.select("node_id", "directory", F.explode("local_dependencies").alias("_d")).withColumn("_path", paths.normal_path(F.col("directory"), F.coalesce("_d.path", F.lit("")))).withColumn("_n", F.monotonically_increasing_id())
+    # a dependency is known by what it says: its rows may come in another order each time they are read
+    said = F.to_json(F.struct("node_id", "directory", "_d")).alias("_n")
+    deps = components.select("node_id", "directory", F.explode("local_dependencies").alias("_d")).select("*", paths.normal_path(F.col("directory"), F.coalesce("_d.path", F.lit(""))).alias("_path"), said).dropDuplicates(["_n"])
     at = components.groupBy(F.col("directory").alias("_dir")).agg(F.max("node_id").alias("_to"))
     # a project reference leads to a file: its directory counts
     dirs = F.array_distinct(F.array("_path", F.col("_d.path"), F.regexp_replace("_path", "/[^/]*$", "")))

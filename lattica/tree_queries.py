@@ -318,7 +318,7 @@ def tree_predicates(spark, sf_dir):
 def tree_component_edges(spark, sf_dir):
     from .plans import build
 
-    return build.component_graph(tree.components(_engine(spark, sf_dir).files(), "tree"), "tree")[1].select("source", "target", "edge_type", "ident", "version_spec")
+    return build.component_graph(cut(tree.components(_engine(spark, sf_dir).files(), "tree")), "tree")[1].select("source", "target", "edge_type", "ident", "version_spec")
 
 
 @_tree("SELECT DISTINCT 'component:tree:n' || n AS id FROM nat UNION SELECT 'component:tree'")

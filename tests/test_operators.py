@@ -4,11 +4,13 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import embed, paths, ranking, text
 from lattica.operators import changes, constraints, lookup, resolve, rollup, search, traverse, vectors
+from lattica.plans import tables
 from lattica.sources import extract, manifests, walk
 
 
@@ -239,6 +241,20 @@ def test_providers(spark):
     assert np.allclose(embed.mean_pool(np.array([[[1.0], [3.0], [9.0]]]), np.array([[1, 1, 0]])), [[2.0]])
 
 
+def test_dependencies_do_not_hang_on_the_order_of_rows(spark):
+    """Each time that they are read the rows come in another order."""
+
+    def mixed(batches):
+        for b in batches:
+            yield b.take(pa.array(random.SystemRandom().sample(range(b.num_rows), b.num_rows)))
+
+    n, m = 60, tables.COMPONENTS
+    dep = lambda i: ("@t/n%d" % ((i + 1) % n), None, "workspace", False, False, "workspace:*")
+    c = spark.createDataFrame([(f"component:r:n{i}", f"@t/n{i}", f"n{i}/package.json", f"n{i}", "npm", "1", False, [], [dep(i)]) for i in range(n)], m).coalesce(1)
+    e = resolve.dependency_edges(c.mapInArrow(mixed, m)).collect()
+    assert sorted((r.source, r.target, r.ident) for r in e) == sorted((f"component:r:n{i}", f"component:r:n{(i + 1) % n}", f"@t/n{(i + 1) % n}") for i in range(n))
+
+
 def test_rollups(spark):
     n = spark.createDataFrame([("a/b/c.py", "Data"), ("a/b/d.py", "Data"), ("a/x.py", "Callable")], "file string, node_type string")
     got = {(r.path, r.node_type): (r.n_nodes, r.n_files) for r in rollup.module_structure(n, "a", 5).collect()}
