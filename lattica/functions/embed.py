@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,24 +163,29 @@ def provider(kind: str = "hashing", **options) -> Provider:
     return kinds[kind](**options)
 
 
+def pieces(batches: Iterator[pa.Array], by: Provider, code: bool = False) -> Iterator[pa.Array]:
+    """Vectors of texts, a batch at a time as they came: memory does not grow with the rows that Spark sends at once."""
+    for texts in batches:
+        for low in range(0, len(texts), BATCH):
+            part = texts.slice(low, BATCH).to_pylist()
+            some, m = [t for t in part if t is not None], np.zeros((0, by.dim), np.float32)
+            if some:
+                try:
+                    m = by.encode(some, code)
+                except ProviderError:
+                    some = []
+            if m.shape[1] != by.dim:
+                raise ValueError(f"vectors of {m.shape[1]} instead of {by.dim} numbers")
+            has = np.array([bool(some) and t is not None for t in part])
+            ends = np.concatenate([[0], np.cumsum(has * by.dim)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(m.astype(np.float32).ravel()), mask=pa.array(~has))
+
+
 def embed(text: Column, by: Provider, code: bool = False) -> Column:
     """array<float> of each text, a batch a call; null texts have none, nor have those of a batch that the provider gives up on. Vectors of another width are an error."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out: list = [None] * len(s)
-            some = [i for i, t in enumerate(s) if t is not None]
-            for low in range(0, len(some), BATCH):
-                at = some[low : low + BATCH]
-                try:
-                    m = by.encode([s.iloc[i] for i in at], code)
-                except ProviderError:
-                    continue
-                if m.shape[1] != by.dim:
-                    raise ValueError(f"vectors of {m.shape[1]} instead of {by.dim} numbers")
-                for i, v in zip(at, m, strict=True):
-                    out[i] = v
-            yield pd.Series(out)
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from pieces(batches, by, code)
 
     return run(text)

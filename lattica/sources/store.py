@@ -23,7 +23,7 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import tables
@@ -124,33 +124,39 @@ class Store:
             out = own if out is None else out.unionByName(own, allowMissingColumns=True)
         return out if keys or name not in KEYS else out.drop(*(k.split()[0] for k in KEYS[name].split(", ")))
 
-    def _write(self, name: str, df: DataFrame, whole: bool = True) -> str:
+    def _write(self, name: str, df: DataFrame, whole: bool = True, late: dict[str, Column] | None = None) -> str:
         path = f"{name}-{uuid.uuid4().hex[:12]}"
         order = [c for c in ORDER.get(name, []) if c in df.columns]
+        own = lambda df: df
         if name in SCHEMAS:
             empty = self.spark.createDataFrame([], self._schema(name))
-            df = empty.unionByName(df.select(*[c for c in empty.columns if c in df.columns]), allowMissingColumns=True)
+            own = lambda df: empty.unionByName(df.select(*[c for c in empty.columns if c in df.columns]), allowMissingColumns=True)
+        if not late:
+            df = own(df)
         # by range, so that one big directory or repository does not become one task
-        writer = (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+        if late:
+            df = own(df.withColumns(late))
+        writer = df.write
         if order and whole:  # for a few rows the filter would be larger than they are
             writer = writer.option(f"parquet.bloom.filter.enabled#{order[-1]}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{path}")
         return path
 
-    def commit(self, whole: dict[str, DataFrame] | None = None, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, meta: dict[str, str] | None = None) -> None:
-        """Replace tables by `whole` and change others: to fresh rows, and without the rows of which some key (column, value) is in a table GONE. All of it is seen at once."""
-        found = copy.deepcopy(self._pointer())
+    def commit(self, whole: dict[str, DataFrame] | None = None, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, meta: dict[str, str] | None = None, late: dict[str, dict[str, Column]] | None = None) -> None:
+        """Replace tables by `whole` and change others: to fresh rows, and without the rows of which some key (column, value) is in a table GONE. All of it is seen at once. late: by table, columns that are made when its rows are in order, since what is costly would be made twice before."""
+        found, late = copy.deepcopy(self._pointer()), late or {}
         for name, df in (whole or {}).items():
-            found["tables"][name] = [{"rows": self._write(name, df), "gone": None, "by": []}]
+            found["tables"][name] = [{"rows": self._write(name, df, late=late.get(name)), "gone": None, "by": []}]
         for name, (fresh, gone) in (changes or {}).items():
             segments = found["tables"].get(name)
             if segments is None:
-                found["tables"][name] = [{"rows": self._write(name, fresh), "gone": None, "by": []}]
+                found["tables"][name] = [{"rows": self._write(name, fresh, late=late.get(name)), "gone": None, "by": []}]
                 continue
             path = f"{name}-gone-{uuid.uuid4().hex[:12]}"
             gone.distinct().coalesce(1).write.parquet(f"{self.path}/{path}")
             by = [r[0] for r in self.spark.read.schema(GONE).parquet(f"{self.path}/{path}").select("key").distinct().collect()]  # column names
-            segments.append({"rows": self._write(name, fresh, False), "gone": path, "by": sorted(by)})
+            segments.append({"rows": self._write(name, fresh, False, late.get(name)), "gone": path, "by": sorted(by)})
         found["schema_version"] = tables.VERSION
         found.setdefault("meta", {}).update(meta or {})
         self._point(found)

@@ -241,6 +241,15 @@ def test_providers(spark):
     assert np.allclose(embed.mean_pool(np.array([[[1.0], [3.0], [9.0]]]), np.array([[1, 1, 0]])), [[2.0]])
 
 
+def test_vectors_come_a_batch_at_a_time():
+    p, texts = embed.provider("hashing", dim=8), [None if i % 7 == 3 else f"word{i} other" for i in range(3 * embed.BATCH + 5)]
+    got = list(embed.pieces(iter([pa.array(texts), pa.array([None, None], pa.string())]), p))
+    assert max(map(len, got)) == embed.BATCH and sum(map(len, got)) == len(texts) + 2
+    rows = [v for x in got for v in x.to_pylist()]
+    want = [None if t is None else p.encode([t])[0].tolist() for t in [*texts, None, None]]
+    assert rows == want
+
+
 def test_dependencies_do_not_hang_on_the_order_of_rows(spark):
     """Each time that they are read the rows come in another order."""
 
