@@ -19,24 +19,36 @@ from . import tables
 #: Extracted rows, as they are kept for updates.
 ROWS = "row string, id string, name string, node_type string, kind string, subtype string, file string, line int, end_line int, span_start int, span_end int, seq int, meta string, other string, hash string, text string"
 
+#: Extracted rows are handed on when there are so many, whatever number of files Spark sends at once; of these so many are unpacked at a time.
+GIVEN, PIECE = 2_000, 100
+
 
 def _extract(batches: Iterator[pa.RecordBatch], rules: dict | None = None) -> Iterator[pa.RecordBatch]:
     import json
 
     kinds = [pa.int32() if t == "int" else pa.string() for t in (c.split()[1] for c in ROWS.split(", "))]
     names = [c.split()[0] for c in ROWS.split(", ")]
-    for batch in batches:
-        rows = []
-        for path, text, language, hash_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            nodes, edges, refs = extract.build_file(path, text or "", language, (rules or {}).get(language, ()))
-            for n in nodes:
-                rows.append(("node", n["id"], n["name"], n["node_type"], n["kind"], n["subtype"], path, n["line"], n["end_line"], *n["span"], n.get("seq", -1), json.dumps(n["metadata"]), None, hash_ if n["kind"] == "file" else None, n.get("text")))
-            for a, b, kind in edges:
-                rows.append(("edge", a, None, None, kind, None, path, None, None, None, None, None, None, b, None, None))
-            for name, source, line in refs:
-                rows.append(("ref", source, name, None, None, None, path, line, None, None, None, None, None, None, None, None))
+    rows: list[tuple] = []
+
+    def give() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            for path, text, language, hash_ in zip(*(batch.column(i).slice(at, PIECE).to_pylist() for i in range(4)), strict=True):
+                nodes, edges, refs = extract.build_file(path, text or "", language, (rules or {}).get(language, ()))
+                for n in nodes:
+                    rows.append(("node", n["id"], n["name"], n["node_type"], n["kind"], n["subtype"], path, n["line"], n["end_line"], *n["span"], n.get("seq", -1), json.dumps(n["metadata"]), None, hash_ if n["kind"] == "file" else None, n.get("text")))
+                for a, b, kind in edges:
+                    rows.append(("edge", a, None, None, kind, None, path, None, None, None, None, None, None, b, None, None))
+                for name, source, line in refs:
+                    rows.append(("ref", source, name, None, None, None, path, line, None, None, None, None, None, None, None, None))
+                if len(rows) >= GIVEN:
+                    yield give()
+        if rows:
+            yield give()
 
 
 def extract_files(files: DataFrame, rules: dict | None = None) -> DataFrame:

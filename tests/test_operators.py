@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import embed, paths, ranking, text
 from lattica.operators import changes, constraints, lookup, resolve, rollup, search, traverse, vectors
-from lattica.plans import tables
+from lattica.plans import build, tables
 from lattica.sources import extract, manifests, walk
 
 
@@ -264,6 +264,14 @@ def test_dependencies_do_not_hang_on_the_order_of_rows(spark):
     assert sorted((r.source, r.target, r.ident) for r in e) == sorted((f"component:r:n{i}", f"component:r:n{(i + 1) % n}", f"@t/n{(i + 1) % n}") for i in range(n))
 
 
+def test_extraction_hands_on_few_rows_at_a_time():
+    text = "".join(f"def f{i}(a, b):\n    return a\n" for i in range(50))
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}.py" for i in range(300)], "text": [text] * 300, "language": ["python"] * 300, "hash": ["h"] * 300})
+    got = list(build._extract(iter([batch])))
+    a_file = next(build._extract(iter([batch.slice(0, 1)]))).num_rows
+    assert len(got) > 10 and max(b.num_rows for b in got) < build.GIVEN + a_file and sum(b.num_rows for b in got) == 300 * a_file
+
+
 def test_rollups(spark):
     n = spark.createDataFrame([("a/b/c.py", "Data"), ("a/b/d.py", "Data"), ("a/x.py", "Callable")], "file string, node_type string")
     got = {(r.path, r.node_type): (r.n_nodes, r.n_files) for r in rollup.module_structure(n, "a", 5).collect()}
