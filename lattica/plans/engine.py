@@ -86,7 +86,7 @@ class Engine:
             n = changes.totals(found).first().asDict()
             if not n["n_total"]:
                 return {"full": False, **n}
-            self._patch(snap, found, 1 + n["n_total"] // 100)
+            self._patch(snap, found, min(4 * self.spark.sparkContext.defaultParallelism, 1 + n["n_total"] // 100))
             if self.store.exists(POINTS[0]):
                 self.index(found)
             return {"full": False, **n}

@@ -98,9 +98,12 @@ def _filled(template: str, k: Column, n: Column) -> Column:
 def _write(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs.FileSystem.from_uri(root)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs.create_dir(f"{top}/{os.path.dirname(path)}", recursive=True)
+                if (directory := os.path.dirname(path)) not in made:
+                    fs.create_dir(f"{top}/{directory}", recursive=True)
+                    made.add(directory)
                 with fs.open_output_stream(f"{top}/{path}") as f:
                     f.write(content.encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
@@ -130,8 +133,9 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _put(files: DataFrame, root: str) -> None:
-    ship(files.sparkSession)
-    files.select("path", "text").mapInArrow(_write(root), "path string").count()
+    tasks = 4 * ship(files.sparkSession).sparkContext.defaultParallelism
+    # to Spark these rows are one task's, but a file takes time
+    files.select("path", "text").repartition(tasks, "path").mapInArrow(_write(root), "path string").count()
 
 
 _made: dict[tuple[str, str, str], Engine] = {}
