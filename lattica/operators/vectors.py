@@ -33,19 +33,27 @@ def _unit(vectors: pa.ListScalar) -> np.ndarray | None:
     return m / np.where(norm > 0, norm, np.nan)
 
 
+def _best(s: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k highest of each row once rounded, ties to the smaller column. Only what can be among them is rounded and sorted: what is less than a rounding step below the k-th."""
+    s = np.where(np.isnan(s), -np.inf, s)
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    row, col = np.nonzero((s >= (least - 1.01 * 10.0**-digits)[:, None]) & (s > -np.inf))
+    score = np.round(s[row, col], digits)
+    order = np.lexsort((col, -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], score[keep]
+
+
 def _top(k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 qi, pi = (np.asarray(batch.column(c)[row].values.to_numpy(zero_copy_only=False)) for c in (0, 2))
-                s = np.round(_unit(batch.column(1)[row]) @ _unit(batch.column(3)[row]).T, digits)
-                s[np.isnan(s)] = -np.inf
                 by_id = np.argsort(pi, kind="stable")
-                s, pi = s[:, by_id], pi[by_id]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                keep = np.isfinite(score).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, best.shape[1])[keep]), pa.array(pi[best].ravel()[keep]), pa.array(score.ravel()[keep])], names=["query_id", "id", "score"])
+                pi = pi[by_id]
+                row_, col, score = _best(_unit(batch.column(1)[row]) @ _unit(batch.column(3)[row])[by_id].T, k, digits)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[row_]), pa.array(pi[col]), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 

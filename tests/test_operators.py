@@ -216,6 +216,15 @@ def test_knn_join_equals_numpy(spark):
     assert set(got) == set(range(90))
 
 
+def test_best_of_a_block_equals_a_full_sort():
+    s = np.round(np.random.default_rng(3).normal(size=(40, 90)), 1)
+    s[3], s[5, :60] = np.nan, 0.2
+    s += np.random.default_rng(4).uniform(-4e-7, 4e-7, s.shape)
+    for k in (1, 10, 90, 120):
+        want = [(i, j, -x) for i, r in enumerate(np.round(s, 6)) for x, j in sorted((-x, j) for j, x in enumerate(r) if np.isfinite(x))[:k]]
+        assert list(zip(*(x.tolist() for x in vectors._best(s, k, 6)), strict=True)) == want
+
+
 def test_fusion(spark):
     cols = "entity_id string, name string, type string, file_path string, score double"
     sem = spark.createDataFrame([("a", "alpha", "Callable", "x/src/a", 0.9), ("b", "beta", "Data", "x/test/b", 0.8)], cols)
