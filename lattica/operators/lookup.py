@@ -125,7 +125,7 @@ def definitions(edges: DataFrame, nodes: DataFrame, id_: str, limit: int = 50) -
 
 def guarded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     return edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
 
 

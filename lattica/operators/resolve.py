@@ -23,7 +23,7 @@ def resolve_references(references: DataFrame, definitions: DataFrame, nodes: Dat
     The side of the definitions has one row a name, so a popular name is skewed on one side only, which AQE splits."""
     names = last_definitions(definitions).withColumnRenamed("id", "target")
     hit = references.join(names, "name").where(F.col("source_id") != F.col("target"))
-    hit = hit.join(nodes.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+    hit = hit.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return hit.select(F.col("source_id").alias("source"), "target", F.lit("USES").alias("edge_type"), F.col("line").alias("ref_line"), F.col("name").alias("ident"), *(["file"] if "file" in references.columns else [])).distinct()
 
 

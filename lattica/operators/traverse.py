@@ -20,12 +20,12 @@ EVERY = 3
 def _links(edges: DataFrame, edge_types: list[str] | None, upstream: bool) -> DataFrame:
     e = edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else edges
     a, b = ("target", "source") if upstream else ("source", "target")
-    return e.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
+    return e.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
 
 
 def chains(edges: DataFrame, starts: DataFrame, depth: int = 3, edge_types: list[str] | None = None, upstream: bool = True, most: int | None = None) -> DataFrame:
     """(start, path, length): simple paths from each start (id) over links, ending at `depth` steps or where no unvisited node follows; the first `most` of each start by path."""
-    links = _links(edges, edge_types or ["USES"], upstream)
+    links = _links(edges, edge_types or ["USES"], upstream).distinct()
     live = starts.select(F.col("id").alias("start"), F.array("id").alias("path"))
     ended = None
     for step in range(1, depth + 1):
@@ -48,6 +48,7 @@ def reachable(edges: DataFrame, starts: DataFrame, edge_types: list[str] | None
     """(start, id, depth): nodes within `depth` links of each start, or any number, with the least number."""
     links = _links(edges, edge_types, upstream)
     first = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
+    # links may repeat: what a step finds is made distinct anyway
     links = cut(links)
     # every step is a table of its own; what was seen is the union of them, never written again
     steps = [cut(first)]
@@ -63,22 +64,30 @@ def reachable(edges: DataFrame, starts: DataFrame, edge_types: list[str] | None
 def dependencies(edges: DataFrame, starts: DataFrame, depth: int = 10, reverse: bool = False) -> DataFrame:
     """(start, source, target, depth): every DEPENDS_ON edge out of a node that is reached in fewer than `depth` links; an edge to a node seen before is listed but not followed."""
     nodes = reachable(edges, starts, ["DEPENDS_ON"], reverse, depth - 1)
-    links = _links(edges, ["DEPENDS_ON"], reverse)
+    links = _links(edges, ["DEPENDS_ON"], reverse).distinct()
     return nodes.join(links, F.col("id") == F.col("_from")).select("start", F.col("_from").alias("source"), F.col("_to").alias("target"), (F.col("depth") + 1).alias("depth"))
 
 
 def on_cycles(edges: DataFrame, edge_type: str = "CONTAINS") -> DataFrame:
     """(id): nodes left when those without incoming edges are taken away again and again; empty if there is no cycle."""
-    left = cut(_links(edges, [edge_type], False))
-    n = left.count()
-    while n:
-        targets = left.select(F.col("_to").alias("_t")).distinct()
-        left = cut(left.join(targets, F.col("_from") == F.col("_t"), "left_semi"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select(F.explode(F.array("_from", "_to")).alias("id")).distinct()
+    links = cut(_links(edges, [edge_type], False))
+    # without a cycle nothing is left either when nodes without outgoing edges go as well, and the many leaves go first
+    if not _peeled(links, True).isEmpty():
+        return _peeled(links, False).select(F.explode(F.array("_from", "_to")).alias("id")).distinct()
+    return links.select(F.col("_from").alias("id")).limit(0)
+
+
+def _peeled(links: DataFrame, both: bool) -> DataFrame:
+    """The links left when those from nodes without incoming ones, with both also those to nodes without outgoing ones, are taken away until none goes."""
+    left, n = links, None
+    while True:
+        to, of = left.select(F.col("_to").alias("_t")), left.select(F.col("_from").alias("_f"))
+        rest = left.join(to, F.col("_from") == F.col("_t"), "left_semi")
+        rest = cut(rest.join(of, F.col("_to") == F.col("_f"), "left_semi") if both else rest)
+        m = rest.count()
+        if not m or m == n:
+            return rest
+        left, n = rest, m
 
 
 def ascii_tree(name: str, links: dict[str, list[str]], depth: int = 0, above: tuple[str, ...] = ()) -> str:

@@ -84,8 +84,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         some(t("orders"), _key("c:", "o_custkey"), _key("o:", "o_orderkey"), "CONTAINS"),
         some(own, _key("o:", "l_orderkey"), item, "CONTAINS"),
         some(own, _key("o:", "l_orderkey"), item, "DEFINES"),
-        some(t("lineitem"), item, _key("p:", "l_partkey"), "USES", "l_linenumber").distinct(),
-        some(t("lineitem"), item, _key("s:", "l_suppkey"), "USES", "l_linenumber").distinct(),
+        # distinct as numbers, of which a task holds more than of texts
+        some(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct(), item, _key("p:", "l_partkey"), "USES", "l_linenumber"),
+        some(t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct(), item, _key("s:", "l_suppkey"), "USES", "l_linenumber"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

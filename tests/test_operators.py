@@ -163,6 +163,26 @@ def test_cycles(spark):
     assert "(circular)" in traverse.draw([("a", "b"), ("b", "a")], "ascii") and "-->" in traverse.draw([("a", "b")], "mermaid")
 
 
+def test_what_hangs_below_a_cycle_is_left_and_leaves_go_at_once(spark, monkeypatch):
+    kept, write = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: kept.append(write(df)) or kept[-1])
+    tree = [(f"n{i}", f"n{i + 1}", "CONTAINS") for i in range(3)] + [("n3", f"leaf{i}", "CONTAINS") for i in range(50)]
+    e = lambda rows: spark.createDataFrame(rows, "source string, target string, edge_type string")
+    assert traverse.on_cycles(e(tree)).count() == 0
+    assert sum(df.count() for df in kept[1:]) < 50
+    rows = [("a", "b", "CONTAINS"), ("b", "a", "CONTAINS"), ("b", "a", "CONTAINS"), ("b", "c", "CONTAINS"), ("x", "a", "CONTAINS")]
+    assert {r.id for r in traverse.on_cycles(e(rows)).collect()} == {"a", "b", "c"}
+
+
+def test_links_and_guards_are_not_made_distinct_first(spark):
+    e = spark.createDataFrame([("a", "b", "USES"), ("a", "b", "USES"), ("a", "b", "DEFINES"), ("b", "z", "USES")], "source string, target string, edge_type string")
+    n = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(traverse._links(e, None, False)) + plan(lookup.guarded(e, n))
+    assert lookup.guarded(e, n).count() == 3
+    assert sorted(map(tuple, traverse.reachable(e, n.where("id = 'a'")).collect())) == [("a", "a", 0), ("a", "b", 1), ("a", "z", 2)]
+
+
 def test_lookup(graph, spark):
     ids, pairs, nodes, edges = graph
     out = [b for a, b in pairs if a == "n1"]
