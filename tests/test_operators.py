@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import tree_queries
 from lattica.functions import embed, paths, ranking, text
 from lattica.operators import changes, constraints, lookup, resolve, rollup, search, traverse, vectors
 from lattica.plans import build, tables
@@ -301,6 +302,21 @@ def test_extraction_hands_on_few_rows_at_a_time():
     assert len(got) > 10 and max(b.num_rows for b in got) < build.GIVEN + a_file and sum(b.num_rows for b in got) == 300 * a_file
 
 
+def test_many_tasks_write_a_tree(spark, tmp_path, monkeypatch):
+    def note(root):
+        def run(batches):
+            if n := sum(b.num_rows for b in batches):
+                (tmp_path / f"{n}-{random.SystemRandom().random()}").touch()
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["path"])
+
+        return run
+
+    monkeypatch.setattr(tree_queries, "_write", note)
+    tree_queries._put(spark.range(200).selectExpr("concat('a', id) path", "'' text").coalesce(1), "")
+    counts = [int(p.name.split("-")[0]) for p in tmp_path.iterdir()]
+    assert sum(counts) == 200 and max(counts) < 50
+
+
 def test_rollups(spark):
     n = spark.createDataFrame([("a/b/c.py", "Data"), ("a/b/d.py", "Data"), ("a/x.py", "Callable")], "file string, node_type string")
     got = {(r.path, r.node_type): (r.n_nodes, r.n_files) for r in rollup.module_structure(n, "a", 5).collect()}
